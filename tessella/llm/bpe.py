@@ -21,8 +21,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries that a worker remembers between batches; then it starts anew. Only speed depends on it.
-REMEMBERED = 400_000
+#: Parts, and letters of parts, that a worker remembers between batches; then it starts anew. Only speed depends on it.
+REMEMBERED, REMEMBERED_LETTERS = 1_000_000, 16_000_000
 
 _two_spaces = re.compile(r"\s\s")
 _borders = re.compile(r"(?<=\S)(?= \S)")
@@ -76,7 +76,11 @@ class Trie:
                     edge[i].append((t, until))
         single = set(letters.values())
         self.word_ids = {w: i for w, i in self.ids.items() if i in made or w in single}
-        self.longest = max(map(len, self.word_ids))
+        # Tokens that end in these two letters have so many letters at most.
+        self.longest: dict[str, int] = {}
+        for w in self.word_ids:
+            if len(w) > self.longest.get(w[-2:], 0):
+                self.longest[w[-2:]] = len(w)
         self.follows: dict[int, bool] = {}
         self.n = n
 
@@ -93,7 +97,7 @@ class Trie:
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words, walked in sorted order: the stack holds the states of the current word's prefixes."""
         out: dict[str, list[int]] = {}
-        ids, follows, n, length, longest = self.word_ids, self.follows, self.n, self.length, self.longest
+        ids, follows, n, length, longest = self.word_ids, self.follows, self.n, self.length, self.longest.get
         stack: list[int] = []
         before = ""
         if len(follows) > 1_000_000:
@@ -104,7 +108,8 @@ class Trie:
                 shared += 1
             del stack[shared:]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                start = end - longest(word[end - 2 : end] if end > 1 else word[:1], 1) - 1
+                for start in range(start + 1 if start > -1 else 0, end):
                     t = ids.get(word[start:end])
                     if t is None:
                         continue
@@ -155,6 +160,7 @@ class PartEncoder:
         self.trie = trie(path)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.known: dict[str, tuple[bytes, bytes, int]] = {}
+        self.letters = 0
 
     def words(self, part: str) -> list[str | int]:
         """Words in byte letters; the id of a special token stands for itself."""
@@ -171,9 +177,11 @@ class PartEncoder:
 
     def learn(self, wanted: set[str]) -> None:
         new = wanted - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
+        self.letters += sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED or self.letters > REMEMBERED_LETTERS:
             self.known.clear()
             new = wanted
+            self.letters = sum(map(len, new))
         split = {part: self.words(part) for part in new}
         encoded = self.trie.encode(list({w for words in split.values() for w in words if isinstance(w, str)}))
         token = self.trie.bytes
