@@ -36,6 +36,8 @@ COUNTERS = 1 << 18
 LARGEST_BOUNDARY, SCAN = 32, 4.0
 #: Classes that are compared at once.
 BLOCK = 256
+#: Rows of (id, block) up to which they are sent to all tasks.
+FEW = 500_000
 
 
 def least_overlap(s: int, t: int, percent: int) -> int:
@@ -213,20 +215,23 @@ def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.
     large = large.withColumn("part", part).select("rep", F.explode(blocks).alias("block"))
     wanted = small.unionByName(large)
 
+    wanted = stored(small.unionByName(large).withColumnRenamed("rep", "doc_id"), "blocks")
+
     def sets(batches):
         for batch in batches:
-            found = [x.tobytes() for x in each_set(batch, 1, kind, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
+            found = [x.tobytes() for x in each_set(batch, 2, kind, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["rep", "block", "shingles"])
 
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-    shipped = texts.mapInArrow(sets, "rep long, shingles binary").join(wanted, "rep").dropDuplicates(["rep", "block"])
+    # A table of few ids (counted) is sent to the texts, a larger one is met by a shuffle.
+    few = wanted.count() <= FEW
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "block", "text")
+    shipped = texts.mapInArrow(sets, "rep long, block string, shingles binary")
 
     def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reps, own = [], []
+        own: dict[int, np.ndarray] = {}  # a repeated id comes once
         for batch in batches:
-            reps += batch.column("rep").to_pylist()
-            own += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
-        found = forest(reps, own, percent)
+            own |= {r: np.frombuffer(x.as_buffer(), np.uint64) for r, x in zip(batch.column("rep").to_pylist(), batch.column("shingles"), strict=True)}
+        found = forest(list(own), list(own.values()), percent)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return shipped.groupBy("block").applyInArrow(scan, "a long, b long")
