@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, licenses, token_files, toxicity, urls
+from . import bpe, chat, decontaminate, jaccard_join, licenses, neighbours, passages, token_files, toxicity, urls
 from .shared import table
 from .words import VISIBLE
 
@@ -40,6 +40,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), percent=90, k=3, kind=VISIBLE)
 
@@ -59,8 +63,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_examples(turns.unionByName(own)))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_decontamination, op4_bpe, op6_jaccard_join, op7_token_files, op8_url_filter, op9_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_decontamination, op4_bpe, op5_substring_dedup, op6_jaccard_join, op7_token_files, op8_url_filter, op9_chat_format, op10_nearest_neighbours)}
 
 
 WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
