@@ -7,7 +7,7 @@ Exact copies of a set are one class, represented by its smallest id. Sets are sp
   sets with an equal subset meet.
 * Heavy sets (with the light ones large enough to match one): inverted lists of a set's rarest shingles. Any order of shingles that is
   the same for all sets is right: two sets that link share one of their first s - ceil(threshold * s) + 1. The order is by counts over
-  all documents (kept in a table of fixed size by hash), so shingles that very many documents have come last.
+  all documents (kept in a table of bounded size by hash), so shingles that very many documents have come last.
 
 What meets in a list is linked along the list (each to the first it may match in size, else to the one before), never in all pairs.
 The connected candidates are then compared exactly: their sets are brought together once, in blocks of bounded size; in a block every
@@ -18,6 +18,7 @@ Within a block only a spanning forest of the links is returned, which leaves the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -30,8 +31,9 @@ from .components import connected
 from .shared import pieces, stored, text_bytes
 from .words import Words, distinct, mix, shingles
 
-#: Counters of shingles; their order is by these.
-COUNTERS = 1 << 18
+#: Bounds of the number of counters (powers of two); the shingles' order is by these. Beyond the upper one the order gets coarser, and
+#: candidates more, but never fewer.
+LEAST_COUNTERS, MOST_COUNTERS = 16, 25
 #: Boundaries that are considered; what reading one posting costs against enumerating one subset.
 LARGEST_BOUNDARY, SCAN = 32, 4.0
 #: Classes that are compared at once.
@@ -93,12 +95,20 @@ def each_set(batch: pa.RecordBatch, column: int, kind: np.ndarray, k: int, most:
             yield distinct(shingles(h[first[i] : first[i + 1]], k))
 
 
-def statistics(docs: DataFrame, kind: np.ndarray, k: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Counters of all shingles of all documents (a fixed number), and numbers of documents by set size up to what a boundary needs."""
+def n_counters(docs: DataFrame) -> int:
+    """One counter for about 32 shingles of what Catalyst reads from the files, within fixed bounds."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 << min(max((size // 100).bit_length() - 1, LEAST_COUNTERS), MOST_COUNTERS)
+
+
+def statistics(docs: DataFrame, kind: np.ndarray, k: int, counters: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Codes (0 to 255, rising with the count) of the counters of all shingles of all documents, and numbers of documents by set size up
+    to what a boundary needs. A shingle's counter is given by its hash's upper bits."""
     spread, slices = 2 * LARGEST_BOUNDARY, 64
+    shift = np.uint64(65 - counters.bit_length())
 
     def run(batches):
-        count, sizes, pending, n = np.zeros(COUNTERS, np.int64), np.zeros(spread, np.int64), [], 0
+        count, sizes, pending, n = np.zeros(counters, np.uint16), np.zeros(spread, np.int64), [], 0
         for batch in batches:
             for h in each_set(batch, 0, kind, k):
                 if len(h) < spread:
@@ -106,29 +116,36 @@ def statistics(docs: DataFrame, kind: np.ndarray, k: int) -> tuple[np.ndarray, d
                 pending.append(h)
                 n += len(h)
                 if n > 1 << 20:
-                    count += np.bincount((np.concatenate(pending) >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+                    tally(count, pending, shift)
                     pending, n = [], 0
         if pending:
-            count += np.bincount((np.concatenate(pending) >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+            tally(count, pending, shift)
         if count.any() or sizes.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices + 1), pa.int64()), pa.array([*(x.tobytes() for x in np.split(count, slices)), sizes.tobytes()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices + 1), pa.int64()), pa.array([*(zlib.compress(x, 1) for x in np.split(count, slices)), sizes.tobytes()], pa.binary())], ["slice", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        at, total = key[0].as_py(), 0
         for batch in groups:
             for x in batch.column("counts"):
-                own = np.frombuffer(x.as_buffer(), np.int64)
-                total = own if total is None else total + own
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+                total = total + (np.frombuffer(x.as_buffer(), np.int64) if at == slices else np.frombuffer(zlib.decompress(x.as_buffer()), np.uint16).astype(np.int64))
+        if at < slices:
+            total = np.where(total < 200, total, np.minimum(255, 200 + 2 * np.log2(np.maximum(total, 200) / 200))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()  # COUNTERS numbers
-    parts = {r["slice"]: np.frombuffer(r["counts"], np.int64) for r in parts}
+    parts = docs.select("text").mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()  # a byte per counter
+    parts = {r["slice"]: r["counts"] for r in parts}
     if not parts:
-        return np.zeros(COUNTERS, np.int64), {}
-    return np.concatenate([parts[i] for i in range(slices)]), {s: int(n) for s, n in enumerate(parts[slices]) if n}
+        return np.zeros(counters, np.uint8), {}
+    sizes = np.frombuffer(parts[slices], np.int64)
+    return np.concatenate([np.frombuffer(parts[i], np.uint8) for i in range(slices)]), {s: int(n) for s, n in enumerate(sizes) if n}
+
+
+def tally(count: np.ndarray, sets: list[np.ndarray], shift: np.uint64) -> None:
+    at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
+    count[at] = np.minimum(count[at] + n, np.iinfo(count.dtype).max)
 
 
-def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included).
 
     Documents link if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; one with fewer words has them all as its
@@ -137,9 +154,11 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
-    counts, sizes = statistics(docs, kind, k)
+    counters = counters or n_counters(docs)
+    shift = np.uint64(65 - counters.bit_length())
+    counts, sizes = statistics(docs, kind, k, counters)
     light = boundary(sizes, percent)
-    rank = context.broadcast(counts.astype(np.int64))  # COUNTERS numbers
+    rank = context.broadcast(counts)  # a byte per counter
 
     def sign(batches):
         count = rank.value
@@ -151,7 +170,7 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
                 h2.append(int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
                 subsets.append(subset_keys(h, percent, light).view(np.int64) if 0 < len(h) <= light else ())
                 if len(h) and partners(len(h), percent)[-1] > light:
-                    order = np.lexsort((h, count[(h >> np.uint64(46)).astype(np.int64)]))
+                    order = np.lexsort((h, count[(h >> shift).astype(np.int64)]))
                     prefix.append(h[order[: n_prefix(len(h), percent)]].view(np.int64))
                 else:
                     prefix.append(())
