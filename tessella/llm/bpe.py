@@ -24,6 +24,12 @@ from pyspark.sql import DataFrame
 #: Parts, and letters of parts, that a worker remembers between batches; then it starts anew. Only speed depends on it.
 REMEMBERED, REMEMBERED_LETTERS = 1_000_000, 16_000_000
 
+#: End of the Latin letters, all of which every version of Unicode has.
+LATIN_END = "\u0250"
+
+#: A word's ids, each followed by a comma; its decoded bytes; the number of ids.
+Code = tuple[bytes, bytes, int]
+
 _two_spaces = re.compile(r"\s\s")
 _borders = re.compile(r"(?<=\S)(?= \S)")
 
@@ -50,12 +56,11 @@ class Trie:
         back = {x: b for b, x in letters.items()}
         n = max([*self.ids.values(), *self.special.values()]) + 1
         self.bytes: list[bytes] = [b""] * n
-        self.length = [0] * n
         for word, i in self.ids.items():
             self.bytes[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
-            self.length[i] = len(word)
         for word, i in self.special.items():
             self.bytes[i] = word.encode()
+        self.comma = [b"%d," % i for i in range(n)]
         never = len(spec["model"]["merges"]) + 1
         self.rank: dict[tuple[int, int], int] = {}
         made: dict[int, tuple[int, int, int]] = {}
@@ -94,11 +99,14 @@ class Trie:
                     return False
         return True
 
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words, walked in sorted order: the stack holds the states of the current word's prefixes."""
-        out: dict[str, list[int]] = {}
-        ids, follows, n, length, longest = self.word_ids, self.follows, self.n, self.length, self.longest.get
+    def encode(self, words: list[str]) -> dict[str, Code]:
+        """Codes of distinct words, walked in sorted order: the stacks hold the states of the current word's prefixes, last tokens and,
+        as they follow from an ancestor's, codes."""
+        out: dict[str, Code] = {}
+        ids, follows, n, longest = self.word_ids, self.follows, self.n, self.longest.get
+        comma, token = self.comma, self.bytes
         stack: list[int] = []
+        codes: list[Code] = []
         before = ""
         if len(follows) > 1_000_000:
             follows.clear()
@@ -106,7 +114,7 @@ class Trie:
             most, shared = min(len(before), len(word)), 0
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del stack[shared:]
+            del stack[shared:], codes[shared:]
             for end in range(shared + 1, len(word) + 1):
                 start = end - longest(word[end - 2 : end] if end > 1 else word[:1], 1) - 1
                 for start in range(start + 1 if start > -1 else 0, end):
@@ -114,22 +122,20 @@ class Trie:
                     if t is None:
                         continue
                     if not start:
+                        codes.append((comma[t], token[t], 1))
                         break
                     key = stack[start - 1] * n + t
                     ok = follows.get(key)
                     if ok is None:
                         ok = follows[key] = self.may_follow(stack[start - 1], t)
                     if ok:
+                        text, raw, count = codes[start - 1]
+                        codes.append((text + comma[t], raw + token[t], count + 1))
                         break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
                 stack.append(t)
-            found, end = [], len(word)
-            while end:
-                t = stack[end - 1]
-                found.append(t)
-                end -= length[t]
-            out[word] = found[::-1]
+            out[word] = codes[-1]
             before = word
         return out
 
@@ -159,16 +165,23 @@ class PartEncoder:
 
         self.trie = trie(path)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.known: dict[str, tuple[bytes, bytes, int]] = {}
+        self.known: dict[str, Code] = {}
         self.letters = 0
 
     def words(self, part: str) -> list[str | int]:
         """Words in byte letters; the id of a special token stands for itself."""
-        bare = part[1:] if part[:1] == " " else part
-        if bare.isalpha():
-            if bare.isascii():
-                return ["Ġ" + bare if bare is not part else bare]
-        elif self.trie.cut and self.trie.cut.search(part):
+        space = part[:1] == " "
+        bare = part[1:] if space else part
+        core = bare.rstrip(".,;:!?")
+        if core.isalpha() and (core.isascii() or max(core) < LATIN_END):  # letters, then signs: words whatever else a pre-tokenizer does
+            if not core.isascii():
+                core = core.encode().decode("latin-1").translate(self.trie.letters)
+                tail = bare[len(bare.rstrip(".,;:!?")) :]
+            else:
+                tail = bare[len(core) :]
+            word = "Ġ" + core if space else core
+            return [word, tail] if tail else [word]
+        if self.trie.cut and self.trie.cut.search(part):
             found: list[str | int] = []
             for x in self.trie.cut.split(part):
                 found += [self.trie.special[x]] if x in self.trie.special else [w for w, _ in self.split(x)] if x else []
@@ -182,12 +195,14 @@ class PartEncoder:
             self.known.clear()
             new = wanted
             self.letters = sum(map(len, new))
-        split = {part: self.words(part) for part in new}
-        encoded = self.trie.encode(list({w for words in split.values() for w in words if isinstance(w, str)}))
-        token = self.trie.bytes
-        for part, words in split.items():
-            ids = [i for w in words for i in (encoded[w] if isinstance(w, str) else [w])]
-            self.known[part] = (("%d," * len(ids) % tuple(ids)).encode(), b"".join([token[i] for i in ids]), len(ids))
+        split = [(part, self.words(part)) for part in new]
+        encoded = self.trie.encode(list({w for _, words in split for w in words if isinstance(w, str)}))
+        for part, words in split:
+            if len(words) == 1 and words[0] in encoded:
+                self.known[part] = encoded[words[0]]
+            else:
+                codes = [encoded[w] if isinstance(w, str) else (self.trie.comma[w], self.trie.bytes[w], 1) for w in words]
+                self.known[part] = (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]), sum([c[2] for c in codes]))
 
 
 @cache
