@@ -238,8 +238,14 @@ def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.
 
     def sets(batches):
         for batch in batches:
-            found = [x.tobytes() for x in each_set(batch, 2, kind, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["rep", "block", "shingles"])
+            found, size, first = [], 0, 0
+            for i, x in enumerate(each_set(batch, 2, kind, k)):
+                found.append(x.tobytes())
+                size += len(found[-1])
+                if size > 1 << 20 or i == batch.num_rows - 1:  # in small portions
+                    part = batch.slice(first, len(found))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["rep", "block", "shingles"])
+                    found, size, first = [], 0, i + 1
 
     # A table of few ids (counted) is sent to the texts, a larger one is met by a shuffle.
     few = wanted.count() <= FEW
