@@ -67,8 +67,14 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_decontamination, op4_bpe, op5_substring_dedup, op6_jaccard_join, op7_token_files, op8_url_filter, op9_chat_format, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_decontamination, op4_bpe, op5_substring_dedup, op6_jaccard_join, op7_token_files, op8_url_filter, op9_chat_format, op10_nearest_neighbours, pipeline)}
 
 
 WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""

@@ -356,3 +356,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32())], ["doc_id", "score", "predicted"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            ok = [model.probability(v) < threshold for i in range(0, len(texts), 1000) for v in scorer.texts([x or "" for x in texts[i : i + 1000]])]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
