@@ -9,8 +9,9 @@ Exact copies of a set are one class, represented by its smallest id. Sets are sp
   the same for all sets is right: two sets that link share one of their first s - ceil(threshold * s) + 1. The order is by counts over
   all documents (kept in a table of bounded size by hash), so shingles that very many documents have come last.
 
-What meets in a list is linked along the list (each to the first it may match in size, else to the one before), never in all pairs.
-The connected candidates are then compared exactly: their sets are brought together once, in blocks of bounded size; in a block every
+Sets that meet in a short list are pairs if their sketches allow it (counts of shingles by hash, whose lesser ones add up to more than the
+overlap can be, so no link is lost). A long list is linked along its length (each set to the first it may match in size, else to the one
+before), never in all pairs. The connected candidates are then compared exactly: their sets are brought together once, in blocks of bounded size; in a block every
 shingle has an inverted list, scanning the lists of a set's shingles counts its overlap with all others, and pairs at the threshold are
 links. A large candidate group is cut by size class and hash into blocks, and only pairs of blocks that can match in size are compared.
 Within a block only a spanning forest of the links is returned, which leaves the groups as they are.
@@ -36,6 +37,8 @@ from .words import Words, distinct, mix, shingles
 LEAST_COUNTERS, MOST_COUNTERS = 16, 25
 #: Boundaries that are considered; what reading one posting costs against enumerating one subset.
 LARGEST_BOUNDARY, SCAN = 32, 4.0
+#: Lists up to this length are short; counters of a sketch (sets of k shingles by hash: the sums of lesser counts bound an overlap).
+SHORT, SKETCH = 16, 256
 #: Classes that are compared at once.
 BLOCK = 256
 #: Rows of (id, block) up to which they are sent to all tasks.
@@ -163,7 +166,7 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
     def sign(batches):
         count = rank.value
         for batch in batches:
-            n, h1, h2, subsets, prefix = [], [], [], [], []
+            n, h1, h2, subsets, prefix, sketch = [], [], [], [], [], []
             for h in each_set(batch, 1, kind, k):
                 n.append(len(h))
                 h1.append(int(h.sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
@@ -174,13 +177,14 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
                     prefix.append(h[order[: n_prefix(len(h), percent)]].view(np.int64))
                 else:
                     prefix.append(())
+                sketch.append(np.minimum(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
             many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(subsets, many), pa.array(prefix, many)], ["doc_id", "n", "h1", "h2", "subsets", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(subsets, many), pa.array(prefix, many), pa.array(sketch, pa.binary())], ["doc_id", "n", "h1", "h2", "subsets", "prefix", "sketch"])
 
-    signed = stored(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, subsets array<long>, prefix array<long>"), "signed")
+    signed = stored(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, subsets array<long>, prefix array<long>, sketch binary"), "signed")
     signature = ["n", "h1", "h2"]
-    classes = signed.where("n > 0 and doc_id is not null").groupBy(*signature).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("subsets", "prefix"), "doc_id").alias("keys"))
-    classes = stored(classes.select(*signature, "rep", "keys.subsets", "keys.prefix"), "classes")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy(*signature).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("subsets", "prefix", "sketch"), "doc_id").alias("keys"))
+    classes = stored(classes.select(*signature, "rep", "keys.subsets", "keys.prefix", "keys.sketch"), "classes")
     edges = candidates(classes, percent)
     members = connected(edges).select(F.col("node").alias("rep"), F.col("component").alias("pool"))
     links = compare(docs, classes.select("rep", "n").join(members, "rep"), percent, k, kind)
@@ -192,17 +196,40 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct edges along the lists of equal subsets and of prefix shingles."""
+    """Distinct edges of lists of equal subsets and of prefix shingles: of a short list all pairs whose sketches allow a link, of a long
+    one each set with the first it may match in size, else with the one before."""
     from pyspark.sql import Window
 
     subset = classes.select("rep", "n", F.lit(0).alias("kind"), F.explode("subsets").alias("key"))
     prefix = classes.select("rep", "n", F.lit(1).alias("kind"), F.explode("prefix").alias("key"))
     rows = Window.partitionBy("kind", "key").orderBy("n", "rep")
-    before, first = F.lag(F.struct("rep", "n")).over(rows), F.first(F.struct("rep", "n")).over(rows)
-    lists = subset.unionByName(prefix).select("kind", "rep", "n", before.alias("before"), first.alias("first")).where("before is not null")
+    one = F.struct("rep", "n")
+    length = F.count(F.lit(1)).over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lists = subset.unionByName(prefix).withColumn("length", length).where("length > 1")
+    earlier = F.collect_list(one).over(rows.rowsBetween(1 - SHORT, -1))
+    lists = lists.select("kind", "rep", "n", "length", F.when(F.col("length") <= SHORT, earlier).alias("earlier"), F.lag(one).over(rows).alias("before"), F.first(one).over(rows).alias("first"))
     fits = lambda x: (F.col("kind") == 0) | (100 * x["n"] >= percent * F.col("n"))
-    to = F.when(fits(F.col("first")), F.col("first.rep")).when(fits(F.col("before")), F.col("before.rep"))
-    return lists.select(F.col("rep").alias("a"), to.alias("b")).where("b is not null and a != b").distinct()
+    to = F.when(fits(F.col("first")), F.col("first")).when(fits(F.col("before")), F.col("before"))
+    long = F.when(to.isNotNull() & F.col("before").isNotNull(), F.array(to)).otherwise(F.array().cast("array<struct<rep:long,n:long>>"))
+    met = lists.select("rep", "kind", "length", F.explode(F.when(F.col("length") <= SHORT, F.filter("earlier", fits)).otherwise(long)).alias("to"))
+    met = met.select(F.col("rep").alias("a"), F.col("to.rep").alias("b"), (F.col("length") > SHORT).alias("sure")).where("a != b")
+    met = stored(met.groupBy("a", "b").agg(F.max("sure").alias("sure")), "met")
+    sketch = classes.select("rep", "n", "sketch")
+    unsure = met.where("not sure").join(sketch.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    unsure = unsure.join(sketch.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+
+    def possible(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (3, 5))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            most[((x == 255) | (y == 255)).any(axis=1)] = 1 << 40  # a full counter bounds nothing
+            ok = 100 * most >= percent * (n - np.minimum(most, n // 2))
+            kept = batch.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    checked = unsure.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(possible, "a long, b long")
+    return met.where("sure").select("a", "b").unionByName(checked)
 
 
 def size_class(n, percent: int):
