@@ -16,11 +16,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import kept
+
 #: Parts, and letters of parts, that a worker remembers between batches; then it starts anew. Only speed depends on it.
 REMEMBERED, REMEMBERED_LETTERS = 1_000_000, 16_000_000
 
@@ -140,11 +141,6 @@ class Trie:
         return out
 
 
-@cache
-def trie(path: str) -> Trie:
-    return Trie(path)
-
-
 def parts(text: str) -> list[str]:
     """The text cut before each single space that stands between two visible characters.
 
@@ -163,7 +159,7 @@ class PartEncoder:
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.trie = trie(path)
+        self.trie = Trie(path)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.known: dict[str, Code] = {}
         self.letters = 0
@@ -205,9 +201,8 @@ class PartEncoder:
                 self.known[part] = (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]), sum([c[2] for c in codes]))
 
 
-@cache
 def part_encoder(path: str) -> PartEncoder:
-    return PartEncoder(path)
+    return kept(("bpe", path), lambda: PartEncoder(path))
 
 
 def grouped(texts: list[str | None], most: int = 4 << 20):

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+Kept = TypeVar("Kept")
+_kept: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Kept]) -> Kept:
+    """The one object that a Python worker keeps between tasks: what an operator remembers goes when another one's work begins."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import grouped, parts
-from .shared import new_path
+from .shared import kept, new_path
 
 #: Parts of texts whose ids a worker remembers; only speed depends on it.
 REMEMBERED = 400_000
@@ -41,7 +40,6 @@ def opened(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url)
 
 
-@cache
 def tokenizer_of(path: str):
     from tokenizers import Tokenizer
 
@@ -71,9 +69,8 @@ class Coder:
                 self.known[part] = np.array(got.ids, self.dtype).tobytes()
 
 
-@cache
 def coder(path: str) -> Coder:
-    return Coder(path)
+    return kept(("tokens", path), lambda: Coder(path))
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> list[tuple[int, int, int]]:

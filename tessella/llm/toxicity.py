@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass
 from functools import cache
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import stored
+from .shared import kept, stored
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 LANDMARKS = 480
@@ -166,6 +167,10 @@ class Scorer:
         return [max([known[w] for w in x], default=self.model.bias) for x in cut]
 
 
+def scorer_of(model: Model) -> Scorer:
+    return kept(("toxicity", zlib.crc32(model.values.tobytes()), model.bias), lambda: Scorer(model))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -224,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             good |= {r.word: r.c for r in found}
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(scorer.texts([x or "" for x in batch.column(0).to_pylist()]), pa.float64()), batch.column(1).cast(pa.int64())], ["value", "toxic"])
 
@@ -261,7 +266,7 @@ def valued(counts: DataFrame, model: Model) -> DataFrame:
     """word, c, value of distinct folded words."""
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scorer.values(words), pa.float64())], ["word", "c", "value"])
@@ -349,7 +354,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     """Per row: doc_id, score, predicted. Null texts are empty; repeated rows stay; other columns aren't looked at. No shuffle."""
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             p = [model.probability(v) for at in range(0, len(texts), 1000) for v in scorer.texts([x or "" for x in texts[at : at + 1000]])]
@@ -363,7 +368,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             ok = [model.probability(v) < threshold for i in range(0, len(texts), 1000) for v in scorer.texts([x or "" for x in texts[i : i + 1000]])]
