@@ -27,6 +27,8 @@ REMEMBERED, REMEMBERED_LETTERS = 1_000_000, 16_000_000
 
 #: End of the Latin letters, all of which every version of Unicode has.
 LATIN_END = "\u0250"
+#: Signs that may close a word.
+SIGNS = ".,;:!?"
 
 #: A word's ids, each followed by a comma; its decoded bytes; the number of ids.
 Code = tuple[bytes, bytes, int]
@@ -168,11 +170,11 @@ class PartEncoder:
         """Words in byte letters; the id of a special token stands for itself."""
         space = part[:1] == " "
         bare = part[1:] if space else part
-        core = bare.rstrip(".,;:!?")
+        core = bare.rstrip(SIGNS)
         if core.isalpha() and (core.isascii() or max(core) < LATIN_END):  # letters, then signs: words whatever else a pre-tokenizer does
             if not core.isascii():
                 core = core.encode().decode("latin-1").translate(self.trie.letters)
-                tail = bare[len(bare.rstrip(".,;:!?")) :]
+                tail = bare[len(bare.rstrip(SIGNS)) :]
             else:
                 tail = bare[len(core) :]
             word = "Ġ" + core if space else core

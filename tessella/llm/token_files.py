@@ -25,11 +25,11 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import grouped, parts
+from .bpe import LATIN_END, SIGNS, grouped, parts
 from .shared import kept, new_path
 
-#: Parts of texts whose ids a worker remembers; only speed depends on it.
-REMEMBERED = 400_000
+#: Parts of texts whose ids a worker remembers, and their letters; only speed depends on it.
+REMEMBERED, REMEMBERED_LETTERS = 1_200_000, 24_000_000
 #: Bytes of text a partition should have.
 PARTITION_BYTES = 16 << 20
 
@@ -56,17 +56,49 @@ class Coder:
         self.tokenizer = tokenizer_of(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.letters = 0
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token, a letter each
+        self.width[list(vocabulary.values())] = [len(w) for w in vocabulary]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, wanted: set[str]) -> None:
         new = wanted - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
+        self.letters += sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED or self.letters > REMEMBERED_LETTERS:
             self.known.clear()
             new = wanted
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(got.ids, self.dtype).tobytes()
+            self.letters = sum(map(len, new))
+        cut = {part: c for part in new if (c := letters_and_signs(part))}
+        todo = (new - cut.keys()).union(*cut.values()) - self.known.keys()
+        # Parts that begin with a space before a visible character and end in one have borders at both ends, so many are encoded as one text.
+        joint = [p for p in todo if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and not any(x in p for x in self.special)]
+        for at in range(0, len(joint), 20_000):
+            some = joint[at : at + 20_000]
+            ids = np.array(self.encode(["".join(some)])[0])
+            ends, wide = np.cumsum([len(p.encode()) for p in some]), np.cumsum(self.width[ids])
+            to = np.searchsorted(wide, ends)
+            if not np.array_equal(wide[to], ends):
+                raise ValueError("a token crosses the border of two parts")
+            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            stops = ((to + 1) * size).tolist()
+            self.known.update(zip(some, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+        alone = list(todo - self.known.keys())
+        self.known.update((p, np.array(ids, self.dtype).tobytes()) for p, ids in zip(alone, self.encode(alone), strict=True))
+        for part, (letters, signs) in cut.items():
+            self.known[part] = self.known[letters] + self.known[signs]
+
+
+def letters_and_signs(part: str) -> tuple[str, str] | None:
+    """The part cut before its closing signs, if what is before them is letters: there is a border whatever stands around."""
+    bare = part[1:] if part[:1] == " " else part
+    core = bare.rstrip(SIGNS)
+    if len(core) < len(bare) and core.isalpha() and (core.isascii() or max(core) < LATIN_END):
+        return part[: len(core) - len(bare)], bare[len(core) :]
+    return None
 
 
 def coder(path: str) -> Coder:
