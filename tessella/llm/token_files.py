@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import LATIN_END, SIGNS, grouped, parts
 from .shared import kept, new_path
 
-#: Parts of texts whose ids a worker remembers, and their letters; only speed depends on it.
-REMEMBERED, REMEMBERED_LETTERS = 1_200_000, 24_000_000
+#: Parts of texts, and their letters, of which a worker remembers the ids twice over; only speed depends on it.
+REMEMBERED, REMEMBERED_LETTERS = 700_000, 12_000_000
 #: Bytes of text a partition should have.
 PARTITION_BYTES = 16 << 20
 
@@ -56,6 +56,7 @@ class Coder:
         self.tokenizer = tokenizer_of(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.letters = 0
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token, a letter each
@@ -68,18 +69,25 @@ class Coder:
     def learn(self, wanted: set[str]) -> None:
         new = wanted - self.known.keys()
         self.letters += sum(map(len, new))
-        if len(self.known) + len(new) > REMEMBERED or self.letters > REMEMBERED_LETTERS:
-            self.known.clear()
+        if len(self.known) + len(new) > REMEMBERED or self.letters > REMEMBERED_LETTERS:  # what was of use lately is taken over below
+            self.before, self.known = self.known, {}
             new = wanted
             self.letters = sum(map(len, new))
+        again = new & self.before.keys()
+        self.known.update((p, self.before[p]) for p in again)
+        new -= again
         cut = {part: c for part in new if (c := letters_and_signs(part))}
         todo = (new - cut.keys()).union(*cut.values()) - self.known.keys()
         # Parts that begin with a space before a visible character and end in one have borders at both ends, so many are encoded as one text.
-        joint = [p for p in todo if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and not any(x in p for x in self.special)]
-        for at in range(0, len(joint), 20_000):
-            some = joint[at : at + 20_000]
-            ids = np.array(self.encode(["".join(some)])[0])
-            ends, wide = np.cumsum([len(p.encode()) for p in some]), np.cumsum(self.width[ids])
+        joint = [p for p in todo if p[:1] == " " and p[1:2].strip() and p[-1:].strip()]
+        for at in range(0, len(joint), 5_000):
+            some = joint[at : at + 5_000]
+            text = "".join(some)
+            if any(x in text for x in self.special):
+                continue  # encoded alone, below
+            ids = np.array(self.encode([text])[0])
+            sizes = [len(p) for p in some] if text.isascii() else [len(p.encode()) for p in some]
+            ends, wide = np.cumsum(sizes), np.cumsum(self.width[ids])
             to = np.searchsorted(wide, ends)
             if not np.array_equal(wide[to], ends):
                 raise ValueError("a token crosses the border of two parts")
@@ -88,8 +96,8 @@ class Coder:
             self.known.update(zip(some, [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
         alone = list(todo - self.known.keys())
         self.known.update((p, np.array(ids, self.dtype).tobytes()) for p, ids in zip(alone, self.encode(alone), strict=True))
-        for part, (letters, signs) in cut.items():
-            self.known[part] = self.known[letters] + self.known[signs]
+        known = self.known
+        known.update([(part, known[letters] + known[signs]) for part, (letters, signs) in cut.items()])
 
 
 def letters_and_signs(part: str) -> tuple[str, str] | None:
