@@ -18,7 +18,7 @@ VISIBLE = np.ones(256, bool)
 VISIBLE[[32, *range(9, 14)]] = False
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _power = np.ones(1, np.uint64)
 
@@ -77,7 +77,7 @@ class Words:
             width = np.diff(np.append(s, hi - lo))
             place = np.arange(hi - lo, dtype=np.int32) - np.repeat(s.astype(np.int32), width)
             value = powers(int(width.max()))[place]
-            value *= _BYTE[self.low[lo:hi]]
+            value *= BYTE[self.low[lo:hi]]
             value *= self.inside[lo:hi]
             out[at:to] = np.add.reduceat(value, s)
             at = to
