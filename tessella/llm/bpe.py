@@ -17,24 +17,20 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import kept
+from .piece_table import SIGNS, Table
+from .shared import kept, pieces, text_bytes
 
-#: Parts, and letters of parts, that a worker remembers between batches; then it starts anew. Only speed depends on it.
-REMEMBERED, REMEMBERED_LETTERS = 1_000_000, 16_000_000
+#: Bytes of text whose pieces are looked up at once.
+BLOCK = 4 << 20
 
 #: End of the Latin letters, all of which every version of Unicode has.
 LATIN_END = "\u0250"
-#: Signs that may close a word.
-SIGNS = ".,;:!?"
-
-#: A word's ids, each followed by a comma; its decoded bytes; the number of ids.
-Code = tuple[bytes, bytes, int]
-
-_two_spaces = re.compile(r"\s\s")
-_borders = re.compile(r"(?<=\S)(?= \S)")
+#: A word's ids, each followed by a comma; its decoded bytes.
+Code = tuple[bytes, bytes]
 
 
 def byte_letters() -> dict[int, str]:
@@ -125,15 +121,15 @@ class Trie:
                     if t is None:
                         continue
                     if not start:
-                        codes.append((comma[t], token[t], 1))
+                        codes.append((comma[t], token[t]))
                         break
                     key = stack[start - 1] * n + t
                     ok = follows.get(key)
                     if ok is None:
                         ok = follows[key] = self.may_follow(stack[start - 1], t)
                     if ok:
-                        text, raw, count = codes[start - 1]
-                        codes.append((text + comma[t], raw + token[t], count + 1))
+                        text, raw = codes[start - 1]
+                        codes.append((text + comma[t], raw + token[t]))
                         break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
@@ -143,28 +139,15 @@ class Trie:
         return out
 
 
-def parts(text: str) -> list[str]:
-    """The text cut before each single space that stands between two visible characters.
-
-    Every pre-tokenizer border rule of byte-level BPE has a border there, whatever stands further off, so
-    that the encodings of the parts, one after the other, are the text's.
-    """
-    if _two_spaces.search(text):
-        return _borders.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
-class PartEncoder:
-    """Encodes parts of texts with a trie; remembers (ids joined by commas and one more comma, decoded bytes, count) of each."""
+class PieceEncoder(Table):
+    """Encodes pieces of texts with a trie; remembers ids, each followed by a comma, and decoded bytes of each."""
 
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.trie = Trie(path)
         self.split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self.known: dict[str, Code] = {}
-        self.letters = 0
+        super().__init__([np.dtype(np.uint8)] * 2, BLOCK)
 
     def words(self, part: str) -> list[str | int]:
         """Words in byte letters; the id of a special token stands for itself."""
@@ -186,38 +169,30 @@ class PartEncoder:
             return found
         return [w for w, _ in self.split(part)] if part else []
 
-    def learn(self, wanted: set[str]) -> None:
-        new = wanted - self.known.keys()
-        self.letters += sum(map(len, new))
-        if len(self.known) + len(new) > REMEMBERED or self.letters > REMEMBERED_LETTERS:
-            self.known.clear()
-            new = wanted
-            self.letters = sum(map(len, new))
-        split = [(part, self.words(part)) for part in new]
-        encoded = self.trie.encode(list({w for _, words in split for w in words if isinstance(w, str)}))
-        for part, words in split:
+    def codes(self, texts: list[str]) -> list[Code]:
+        split = [self.words(x) for x in texts]
+        encoded = self.trie.encode(list({w for words in split for w in words if isinstance(w, str)}))
+        out = []
+        for words in split:
             if len(words) == 1 and words[0] in encoded:
-                self.known[part] = encoded[words[0]]
+                out.append(encoded[words[0]])
             else:
-                codes = [encoded[w] if isinstance(w, str) else (self.trie.comma[w], self.trie.bytes[w], 1) for w in words]
-                self.known[part] = (b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes]), sum([c[2] for c in codes]))
+                codes = [encoded[w] if isinstance(w, str) else (self.trie.comma[w], self.trie.bytes[w]) for w in words]
+                out.append((b"".join([c[0] for c in codes]), b"".join([c[1] for c in codes])))
+        return out
 
+    def made(self, raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        text, at = raw.tobytes(), at.tolist()
+        codes = self.codes([text[i:j].decode() for i, j in zip(at[:-1], at[1:], strict=True)])
+        return [(np.frombuffer(b"".join(x), np.uint8), np.array([*map(len, x)], np.int64)) for x in zip(*codes, strict=True)]
 
-def part_encoder(path: str) -> PartEncoder:
-    return kept(("bpe", path), lambda: PartEncoder(path))
+    def whole(self, raw: bytes) -> list[np.ndarray]:
+        [code] = self.codes([raw.decode()])
+        return [np.frombuffer(x, np.uint8) for x in code]
 
 
-def grouped(texts: list[str | None], most: int = 4 << 20):
-    """Runs of texts of about `most` characters in all."""
-    run, size = [], 0
-    for text in texts:
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def piece_encoder(path: str) -> PieceEncoder:
+    return kept(("bpe", path), lambda: PieceEncoder(path))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -232,18 +207,18 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        encoder = part_encoder(tokenizer)
+        encoder = piece_encoder(tokenizer)
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
-            for texts in grouped(batch.column(1).to_pylist()):
-                cut = [parts(x) for x in texts]
-                encoder.learn(set().union(*cut))
-                known = encoder.known
-                for x in cut:
-                    got = [known[p] for p in x]
-                    n.append(sum([g[2] for g in got]))
-                    ids_hex.append(hashlib.sha256(b"".join([g[0] for g in got])[:-1]).hexdigest())
-                    text_hex.append(hashlib.sha256(b"".join([g[1] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in pieces(offsets, BLOCK):
+                (ids, ids_at), (text, text_at) = encoder.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, text, ids_at, text_at = ids.tobytes(), text.tobytes(), ids_at.tolist(), text_at.tolist()
+                for k in range(j - i):
+                    own = ids[ids_at[k] : ids_at[k + 1]]
+                    n.append(own.count(b","))
+                    ids_hex.append(hashlib.sha256(own[:-1]).hexdigest())
+                    text_hex.append(hashlib.sha256(text[text_at[k] : text_at[k + 1]].decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)

@@ -20,23 +20,14 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import SIGNS
+from .piece_table import Table, runs, spaces
 from .shared import kept, new_path, pieces, text_bytes
-from .words import BYTE, mix, powers
 
-#: Bytes of the letters A-Z and a-z; of the signs that may close a word.
-LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
-LETTER[65:91] = LETTER[97:123] = True
-SIGN[list(SIGNS.encode())] = True
-
-#: Pieces of texts whose ids a worker remembers, their bytes, and slots of the table (a power of two); only speed depends on them.
-REMEMBERED, REMEMBERED_BYTES, SLOTS = 2_000_000, 32 << 20, 1 << 22
 #: Bytes of text that are looked up at once; pieces that are encoded as one text.
 BLOCK, JOINT = 2 << 20, 20_000
 #: Bytes of text a partition should have.
@@ -58,79 +49,8 @@ def tokenizer_of(path: str):
     return found
 
 
-def spaces(data: np.ndarray) -> np.ndarray:
-    """Which bytes belong to white space. Some rare visible characters count too: texts are cut at fewer places then."""
-    out = (data <= 32) | (data == 127)
-    padded = np.concatenate([data, np.zeros(2, np.uint8)])
-    for lead, size in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
-        at = np.flatnonzero(data == lead)
-        b, c = padded[at + 1], padded[at + 2]
-        if lead == 0xC2:  # U+0085, U+00A0
-            found = (b == 0x85) | (b == 0xA0)
-        elif lead == 0xE1:  # U+1680 and its neighbours
-            found = b == 0x9A
-        elif lead == 0xE2:  # U+2000 to U+200F, U+2028 to U+202F, U+2040 to U+207F
-            found = (b == 0x80) & ((c < 0x90) | (c >= 0xA8) & (c < 0xB0)) | (b == 0x81)
-        else:  # U+3000
-            found = (b == 0x80) & (c == 0x80)
-        for k in range(size):
-            out[at[found] + k] = True
-    return out
-
-
-def letters(data: np.ndarray) -> np.ndarray:
-    """Which bytes belong to Latin letters up to U+017F."""
-    out = LETTER[data]
-    at = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
-    at = at[at + 1 < len(data)]
-    at = at[(data[at] != 0xC3) | (data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]  # the signs for times and division
-    out[at] = out[at + 1] = True
-    return out
-
-
-def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the pieces of texts begin: at a text's start, before each single space between two visible characters, and between letters
-    and the signs that close them. A pre-tokenizer has borders there, whatever stands further off."""
-    blank = spaces(data)
-    begins = data == 32
-    begins[1:] &= ~blank[:-1]
-    begins[:-1] &= ~blank[1:]
-    full = np.flatnonzero(np.diff(offsets))
-    begins[offsets[full + 1] - 1] = False
-    begins[offsets[full]] = True
-    starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], len(data))
-    n_signs = np.append(0, np.cumsum(SIGN[data], dtype=np.int64))
-    n_letters = np.append(0, np.cumsum(letters(data), dtype=np.int64))
-    closing = n_signs[ends] - n_signs[starts]
-    core = n_letters[ends] - n_letters[starts]
-    at = ends - closing
-    closed = (closing > 0) & (core > 0) & (core + closing + (data[starts] == 32) == ends - starts) & (n_signs[ends] - n_signs[at] == closing)
-    begins[at[closed]] = True
-    return np.flatnonzero(begins)
-
-
-def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64 bits for each piece of a block that begins with the first start."""
-    width = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), width)
-    value = powers(int(width.max()))[place]
-    value *= BYTE[data]
-    return mix(np.add.reduceat(value, starts) + width.astype(np.uint64))
-
-
-def runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (count[0] of them), begin[1], ..."""
-    before = np.cumsum(count) - count
-    return np.repeat(begin - before, count) + np.arange(int(count.sum()))
-
-
-class Coder:
-    """Raw ids of texts by the tokenizers library; each piece of a text is encoded once while it is remembered.
-
-    Pieces are looked up by a 64-bit hash in an open-addressing table, all pieces of a block at once; what is found is compared with the
-    remembered bytes, and a text in which they differ is encoded as a whole.
-    """
+class Coder(Table):
+    """Raw ids of texts by the tokenizers library."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_of(path)
@@ -140,130 +60,40 @@ class Coder:
         self.width[list(vocabulary.values())] = [len(w) for w in vocabulary]
         self.special = np.zeros(256, bool)  # first bytes of special tokens
         self.special[[t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]] = True
-        self.keys, self.places = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
-        self.forget()
-
-    def forget(self) -> None:
-        self.places.fill(-1)
-        self.n = 0
-        self.raw, self.ids = np.empty(1 << 20, np.uint8), np.empty(1 << 20, self.dtype)
-        self.raw_at, self.ids_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  # n + 1 offsets
+        super().__init__([self.dtype], BLOCK)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of remembered pieces, -1 for others."""
-        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        while len(left):
-            at = slot[left]
-            place = self.places[at]
-            hit = (place >= 0) & (self.keys[at] == keys[left])
-            out[left[hit]] = place[hit]
-            left = left[(place >= 0) & ~hit]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-        return out
-
-    def enter(self, keys: np.ndarray, places: np.ndarray) -> None:
-        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[self.places[slot[left]] < 0]
-            self.places[slot[free]] = places[free]  # of several that want a slot the last one gets it
-            got = free[self.places[slot[free]] == places[free]]
-            self.keys[slot[got]] = keys[got]
-            left = left[self.places[slot[left]] != places[left]]
-            slot[left] = (slot[left] + 1) & (SLOTS - 1)
-
-    def learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """Remembers new distinct pieces, data[begin:begin + size] each."""
+    def whole(self, raw: bytes) -> list[np.ndarray]:
+        return [np.array(self.encode([raw.decode()])[0], self.dtype)]
+
+    def made(self, raw: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         # Pieces that begin with a space before a visible character and end in one have borders at both ends, so many are encoded as one text.
-        blank = spaces(data)
-        n_special = np.append(0, np.cumsum(self.special[data], dtype=np.int64))
-        joint = (data[begin] == 32) & (size > 1) & (n_special[begin + size] == n_special[begin])
-        joint &= ~blank[np.minimum(begin + 1, len(data) - 1)] & ~blank[begin + size - 1]
+        begin, size, blank = at[:-1], np.diff(at), spaces(raw)
+        n_special = np.append(0, np.cumsum(self.special[raw], dtype=np.int64))
+        joint = (raw[begin] == 32) & (size > 1) & (n_special[at[1:]] == n_special[begin])
+        joint &= ~blank[np.minimum(begin + 1, len(raw) - 1)] & ~blank[at[1:] - 1]
         order = np.append(np.flatnonzero(joint), np.flatnonzero(~joint))
-        keys, begin, size = keys[order], begin[order], size[order]
-        raw = data[runs(begin, size)]
-        at = np.append(0, np.cumsum(size))
+        dealt = raw[runs(begin[order], size[order])]
+        upto = np.append(0, np.cumsum(size[order]))
         ids, counts, n_joint = [], [], int(joint.sum())
         for i in range(0, n_joint, JOINT):
             j = min(i + JOINT, n_joint)
-            found = np.array(self.encode([raw[at[i] : at[j]].tobytes().decode()])[0])
-            ends, wide = at[i + 1 : j + 1] - at[i], np.cumsum(self.width[found])
+            found = np.array(self.encode([dealt[upto[i] : upto[j]].tobytes().decode()])[0])
+            ends, wide = upto[i + 1 : j + 1] - upto[i], np.cumsum(self.width[found])
             to = np.searchsorted(wide, ends)
             if not np.array_equal(wide[np.minimum(to, len(wide) - 1)], ends):
                 raise ValueError("a token crosses the border of two pieces")
             ids.append(found)
             counts.append(np.diff(to, prepend=-1))
-        whole = raw.tobytes()
-        alone = self.encode([whole[at[i] : at[i + 1]].decode() for i in range(n_joint, len(size))])
-        ids += [np.array(x, np.int64) for x in alone]
-        counts.append(np.array([len(x) for x in alone], np.int64))
-        self.raw = grown(self.raw, self.raw_at[self.n], raw)
-        more = np.concatenate(ids).astype(self.dtype)
-        self.ids = grown(self.ids, self.ids_at[self.n], more)
-        self.raw_at = grown(self.raw_at, self.n + 1, self.raw_at[self.n] + at[1:])
-        self.ids_at = grown(self.ids_at, self.n + 1, self.ids_at[self.n] + np.cumsum(np.concatenate(counts)))
-        self.enter(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
-        self.n += len(keys)
-
-    def block(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, numbers of ids of each piece, and pieces that aren't what their hash stands for."""
-        keys = piece_hashes(data, starts)
-        code, distinct = pd.factorize(keys)
-        size = np.diff(np.append(starts, len(data)))
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        place = self.find(distinct)
-        new = np.flatnonzero(place < 0)
-        if self.n + len(new) > REMEMBERED or self.raw_at[self.n] + size[first[new]].sum() > REMEMBERED_BYTES:
-            self.forget()
-            new = np.arange(len(distinct))
-        if len(new):
-            self.learn(distinct[new], data, starts[first[new]], size[first[new]])
-            place = self.find(distinct)
-        place = place[code]
-        begin, long = self.raw_at[place], self.raw_at[place + 1] - self.raw_at[place]
-        if np.array_equal(long, size) and np.array_equal(self.raw[runs(begin, size)], data):
-            wrong = np.empty(0, np.int64)
-        else:
-            wrong = np.array([k for k, (i, n, j, m) in enumerate(zip(starts, size, begin, long, strict=True)) if n != m or not np.array_equal(data[i : i + n], self.raw[j : j + m])], np.int64)
-        count = self.ids_at[place + 1] - self.ids_at[place]
-        return self.ids[runs(self.ids_at[place], count)], count, wrong
-
-    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts, data[offsets[i]:offsets[i + 1]] each, and the number of each text's ids."""
-        if not len(data):
-            return np.empty(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
-        starts = cut(data, offsets)
-        at, ids, counts, wrong = 0, [], [], []
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + BLOCK)))
-            end = starts[to] if to < len(starts) else len(data)
-            i, n, w = self.block(data[starts[at] : end], starts[at:to] - starts[at])
-            ids.append(i)
-            counts.append(n)
-            wrong.append(w + at)
-            at = to
-        out, upto = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(counts)))
-        upto = upto[np.searchsorted(starts, offsets)]
-        bad = np.unique(np.searchsorted(offsets, starts[np.concatenate(wrong)], "right") - 1)
-        if len(bad):
-            each = np.split(out, upto[1:-1])
-            for i in bad.tolist():
-                each[i] = np.array(self.encode([data[offsets[i] : offsets[i + 1]].tobytes().decode()])[0], self.dtype)
-            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
-        return out, np.diff(upto)
-
-
-def grown(array: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
-    """The array with `more` from n on; with twice the room when it is full."""
-    if n + len(more) > len(array):
-        array = np.concatenate([array[:n], np.empty(max(len(array), 2 * len(more)), array.dtype)])
-    array[n : n + len(more)] = more
-    return array
+        text = dealt.tobytes()
+        alone = self.encode([text[upto[i] : upto[i + 1]].decode() for i in range(n_joint, len(size))])
+        flat = np.concatenate([*ids, *[np.array(x, np.int64) for x in alone]]).astype(self.dtype)
+        count = np.concatenate([*counts, np.array([len(x) for x in alone], np.int64)])
+        place = np.empty(len(order), np.int64)  # back to the given order
+        place[order] = np.arange(len(order))
+        return [(flat[runs((np.cumsum(count) - count)[place], count[place])], count[place])]
 
 
 def coder(path: str) -> Coder:
@@ -295,9 +125,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
                     out = fs.open_output_stream(mine)
                 data, offsets = text_bytes(batch.column(1))
                 for i, j in pieces(offsets, 2 * BLOCK):
-                    found, n = code.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    out.write(np.insert(found, np.cumsum(n), end_id).tobytes())
-                    sizes.append(n + 1)
+                    [(found, upto)] = code.texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    out.write(np.insert(found, upto[1:], end_id).tobytes())
+                    sizes.append(np.diff(upto) + 1)
         finally:
             if out is not None:
                 out.close()

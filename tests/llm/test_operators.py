@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessella.llm import bpe, chat, components, decontaminate, jaccard_join, licenses, neighbours, passages, token_files, toxicity, urls, words
+from tessella.llm import bpe, chat, components, decontaminate, jaccard_join, licenses, neighbours, passages, piece_table, token_files, toxicity, urls, words
 from tessella.llm.queries import PHRASES, RULES, tokenizer
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -73,13 +73,32 @@ def test_bpe_is_the_library_and_decodes_back(spark, library):
     assert bpe.encode_decode(frame(spark, []), tokenizer()).count() == 0
 
 
-def test_bpe_forgets_and_goes_on(monkeypatch, library):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    encoder = bpe.PartEncoder(tokenizer())
-    for text in ("one two three four", "five six", "one seven"):
-        cut = bpe.parts(text)
-        encoder.learn(set(cut))
-        assert b"".join(encoder.known[p][0] for p in cut)[:-1].decode() == ",".join(map(str, library.encode(text).ids))
+def pieced(table, texts):
+    data = [x.encode() for x in texts]
+    offsets = np.append(0, np.cumsum([len(x) for x in data]))
+    columns = table.texts(np.frombuffer(b"".join(data), np.uint8), offsets)
+    return [[v[at[i] : at[i + 1]] for v, at in columns] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("case", ["plain", "forgets", "equal hashes", "small blocks"])
+def test_pieces_give_what_whole_texts_give(monkeypatch, library, case):
+    if case == "forgets":
+        monkeypatch.setattr(piece_table, "REMEMBERED", 50)
+    if case == "equal hashes":
+        real = piece_table.piece_hashes
+        monkeypatch.setattr(piece_table, "piece_hashes", lambda data, starts: real(data, starts) & np.uint64(255))
+    for module in (bpe, token_files) if case == "small blocks" else ():
+        monkeypatch.setattr(module, "BLOCK", 7)
+    rng = random.Random(case)
+    signs = ["a", "B", "é", "×", "·", " ", " ", " ", "  ", ".", ",", "!?", "'s", "1", "漢", "я", "\n", "\t", "<|endoftext|>", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "…", "🙂", "ß", "Ž", "_", "\x00"]
+    texts = ["", *["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(1500)], ""]
+    encoder, coder = bpe.PieceEncoder(tokenizer()), token_files.Coder(tokenizer())
+    for some in (texts[:700], texts[600:], []):
+        for text, (ids, raw), (numbers,) in zip(some, pieced(encoder, some), pieced(coder, some), strict=True):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert numbers.tolist() == want
+            assert ids.tobytes().decode() == "".join(f"{i}," for i in want)
+            assert raw.tobytes().decode() == text
 
 
 def test_token_files(spark, library, tmp_path):
