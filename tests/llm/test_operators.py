@@ -394,3 +394,35 @@ def test_shared_reads_nulls():
     data, offsets = text_bytes(pa.array(["ab", None, "", "c"]).slice(1))
     assert data.tobytes() == b"c" and offsets.tolist() == [0, 0, 0, 1]
     assert list(pieces(np.array([0, 5, 5, 50, 51]), 10)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_passages_whose_seeds_stand_first_in_several_documents(spark):
+    rng = random.Random(11)
+    for n, half in ((60, 32), (90, 47)):
+        p = prose(rng, n, 10**6).split()
+        texts = [" ".join(p[:half]), " ".join(p[n - half :]), prose(rng, 30, 10**6) + " " + " ".join(p), " ".join(p) + " " + prose(rng, 30, 10**6)]
+        lines = [prose(rng, 10, 10**6) for _ in range(6)]
+        texts += [x + " " + prose(rng, 40, 10**6) for x in lines] + [" ".join(lines)] * 2
+        out = {(r.doc_id, r.source_id): r for r in passages.repeated_passages(frame(spark, texts)).collect()}
+        assert (out[3, 2].start, out[3, 2].end, out[3, 2].similarity) == (0, n, 1.0)
+        assert (out[11, 10].start, out[11, 10].end) == (0, 60)
+
+
+def test_passages_with_spread_edits_and_gaps_near_the_ends(spark):
+    rng = random.Random(12)
+    texts, whole = [], {}
+    for n, like in ((50, 0.8), (60, 0.83), (60, 0.85), (80, 0.85), (120, 0.82), (50, 0.86)):
+        for even in (True, False):
+            base = prose(rng, n, 10**6).split()
+            edits = round(n * (1 - like))
+            at = [int((i + 0.5) * n / edits) for i in range(edits)] if even else rng.sample(range(3, n - 3), edits)
+            whole[len(texts) + 1] = n
+            texts += [" ".join(base), " ".join("changed" if i in at else w for i, w in enumerate(base))]
+    for k in (9, 46):
+        base = prose(rng, 55, 10**6).split()
+        whole[len(texts) + 1] = 56
+        texts += [" ".join(base), " ".join(base[:k] + ["put"] + base[k:])]
+    out = {(r.doc_id, r.source_id): r for r in passages.repeated_passages(frame(spark, texts)).collect()}
+    assert set(out) == {(i, i - 1) for i in whole}
+    assert all(r.similarity >= 0.8 and r.end - r.start >= 50 for r in out.values())
+    assert all(out[i, i - 1].end - out[i, i - 1].start == 56 for i in list(whole)[-2:])
