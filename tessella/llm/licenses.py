@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules over a text's words.
 
 A text is brought to its words (A-Z lower-cased, everything else between words becomes one space), so rules match across line breaks
-and punctuation. A rule is a regular expression over words with a priority, a confidence and a keyword; it runs only where its
-keyword stands. Of overlapping detections the one of higher priority stays (of equal priority the longer, then the earlier), and one
+and punctuation. A rule is a regular expression over words with a priority, a confidence and keywords, of which every
+match of it holds one each; it runs only where they stand. Of overlapping detections the one of higher priority stays (of equal priority the longer, then the earlier), and one
 that lies inside a kept interval is suppressed. The rules are frames (how a licence is declared) times names (what it is called).
 
 Beside them, base phrases are found at all word positions where their words stand consecutively; no rule suppresses them.
@@ -23,7 +23,7 @@ TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <=
 
 VERSION = r"(?: v| version| ver)?"
 
-#: (label, keyword, regular expression of the name in words, whether the bare name declares the licence)
+#: (label, keywords of which one stands in every match, regular expression of the name in words, whether the bare name declares the licence)
 NAMES = [
     ("mit", "mit", r"mit", False),
     ("mit-0", "attribution", r"mit no attribution", True),
@@ -33,49 +33,49 @@ NAMES = [
     ("libpng", "libpng", r"libpng", False),
     ("apache-1", "apache", rf"apache(?: software)?(?: license)?{VERSION} 1(?: [01])?", True),
     ("apache-2", "apache", rf"apache(?: software)?(?: license)?{VERSION} 2(?: 0)?", True),
-    ("bsd-0-clause", "0bsd", r"0bsd|bsd zero clause", True),
+    ("bsd-0-clause", "0bsd|bsd zero", r"0bsd|bsd zero clause", True),
     ("bsd-2-clause", "bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd", True),
     ("bsd-3-clause", "bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", True),
     ("bsd-4-clause", "bsd", r"bsd 4 clause|4 clause bsd|original bsd", True),
-    ("gpl-1", "g", rf"(?:gnu general public license|gnu gpl|gpl){VERSION} ?1", True),
-    ("gpl-2", "g", rf"(?:gnu general public license|gnu gpl|gpl){VERSION} ?2", True),
-    ("gpl-3", "g", rf"(?:gnu general public license|gnu gpl|gpl){VERSION} ?3", True),
-    ("gpl", "g", r"gnu general public license|gnu gpl|gpl", False),
-    ("lgpl-2.1", "l", rf"(?:gnu lesser general public license|gnu library general public license|gnu lgpl|lgpl){VERSION} ?2(?: [01])?", True),
-    ("lgpl-3", "l", rf"(?:gnu lesser general public license|gnu lgpl|lgpl){VERSION} ?3", True),
-    ("lgpl", "l", r"gnu lesser general public license|gnu lgpl|lgpl", False),
-    ("agpl-3", "a", rf"(?:gnu affero general public license|affero gpl|gnu agpl|agpl){VERSION} ?3", True),
-    ("agpl", "a", r"gnu affero general public license|affero gpl|gnu agpl|agpl", False),
+    ("gpl-1", "gpl|general public", rf"(?:gnu general public license|gnu gpl|gpl){VERSION} ?1", True),
+    ("gpl-2", "gpl|general public", rf"(?:gnu general public license|gnu gpl|gpl){VERSION} ?2", True),
+    ("gpl-3", "gpl|general public", rf"(?:gnu general public license|gnu gpl|gpl){VERSION} ?3", True),
+    ("gpl", "gpl|general public", r"gnu general public license|gnu gpl|gpl", False),
+    ("lgpl-2.1", "lgpl|lesser general|library general", rf"(?:gnu lesser general public license|gnu library general public license|gnu lgpl|lgpl){VERSION} ?2(?: [01])?", True),
+    ("lgpl-3", "lgpl|lesser general", rf"(?:gnu lesser general public license|gnu lgpl|lgpl){VERSION} ?3", True),
+    ("lgpl", "lgpl|lesser general", r"gnu lesser general public license|gnu lgpl|lgpl", False),
+    ("agpl-3", "agpl|affero", rf"(?:gnu affero general public license|affero gpl|gnu agpl|agpl){VERSION} ?3", True),
+    ("agpl", "agpl|affero", r"gnu affero general public license|affero gpl|gnu agpl|agpl", False),
     ("gfdl", "free documentation", r"gnu free documentation license", True),
-    ("mpl-1", "m", rf"(?:mozilla public license|mpl){VERSION} 1(?: [01])?", True),
-    ("mpl-2", "m", rf"(?:mozilla public license|mpl){VERSION} 2(?: 0)?", True),
-    ("epl-1", "e", rf"(?:eclipse public license|epl){VERSION} 1(?: 0)?", True),
-    ("epl-2", "e", rf"(?:eclipse public license|epl){VERSION} 2(?: 0)?", True),
-    ("eupl", "e", rf"european union public licen[cs]e|eupl{VERSION} 1(?: [0-2])?", True),
-    ("cddl", "cd", rf"common development and distribution license|cddl{VERSION} 1(?: [01])?", True),
+    ("mpl-1", "mpl|mozilla", rf"(?:mozilla public license|mpl){VERSION} 1(?: [01])?", True),
+    ("mpl-2", "mpl|mozilla", rf"(?:mozilla public license|mpl){VERSION} 2(?: 0)?", True),
+    ("epl-1", "epl|eclipse", rf"(?:eclipse public license|epl){VERSION} 1(?: 0)?", True),
+    ("epl-2", "epl|eclipse", rf"(?:eclipse public license|epl){VERSION} 2(?: 0)?", True),
+    ("eupl", "eupl|european union", rf"european union public licen[cs]e|eupl{VERSION} 1(?: [0-2])?", True),
+    ("cddl", "cddl|common development", rf"common development and distribution license|cddl{VERSION} 1(?: [01])?", True),
     ("cpl", "common public", r"common public license", True),
     ("artistic-1", "artistic", rf"artistic license{VERSION} 1(?: 0)?", True),
     ("artistic-2", "artistic", rf"artistic license{VERSION} 2(?: 0)?", True),
     ("bsl-1", "boost", rf"boost software license(?:{VERSION} 1(?: 0)?)?", True),
     ("unlicense", "unlicense", r"unlicense", False),
     ("wtfpl", "wtfpl", r"wtfpl", True),
-    ("ofl-1.1", "o", rf"sil open font license(?:{VERSION} 1(?: [01])?)?|ofl", False),
+    ("ofl-1.1", "ofl|open font", rf"sil open font license(?:{VERSION} 1(?: [01])?)?|ofl", False),
     ("postgresql", "postgresql", r"postgresql", False),
-    ("python-2", "p", rf"python software foundation license|psf license|python license{VERSION} 2(?: 0)?", False),
+    ("python-2", "python|psf", rf"python software foundation license|psf license|python license{VERSION} 2(?: 0)?", False),
     ("php-3", "php", rf"php license{VERSION} 3(?: [01]+)?", True),
-    ("ms-pl", "m", r"microsoft public license|ms pl", False),
-    ("ms-rl", "m", r"microsoft reciprocal license|ms rl", False),
-    ("ncsa", "n", r"university of illinois(?: ncsa)? open source license|ncsa", False),
+    ("ms-pl", "ms pl|microsoft public", r"microsoft public license|ms pl", False),
+    ("ms-rl", "ms rl|microsoft reciprocal", r"microsoft reciprocal license|ms rl", False),
+    ("ncsa", "ncsa|illinois", r"university of illinois(?: ncsa)? open source license|ncsa", False),
     ("openssl", "openssl", r"openssl", False),
-    ("cc0", "c", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", True),
-    ("cc-by-nc-nd", "c", r"(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: nd| no ?deriv\w+)(?: [1-4](?: [05])?)?", True),
-    ("cc-by-nc-sa", "c", r"(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: sa| share ?alike)(?: [1-4](?: [05])?)?", True),
-    ("cc-by-nc", "c", r"(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: [1-4](?: [05])?)?", True),
-    ("cc-by-nd", "c", r"(?:cc|creative commons)(?: by| attribution)(?: nd| no ?deriv\w+)(?: [1-4](?: [05])?)?", True),
-    ("cc-by-sa", "c", r"(?:cc|creative commons)(?: by| attribution)(?: sa| share ?alike)(?: [1-4](?: [05])?)?", True),
-    ("cc-by", "c", r"(?:cc|creative commons)(?: by| attribution)(?: [1-4](?: [05])?)?", False),
-    ("odbl", "o", r"open database license|odbl", True),
-    ("odc-by", "o", r"open data commons attribution license|odc by", True),
+    ("cc0", "cc0|creative commons", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", True),
+    ("cc-by-nc-nd", "cc|creative commons", r"(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: nd| no ?deriv\w+)(?: [1-4](?: [05])?)?", True),
+    ("cc-by-nc-sa", "cc|creative commons", r"(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: sa| share ?alike)(?: [1-4](?: [05])?)?", True),
+    ("cc-by-nc", "cc|creative commons", r"(?:cc|creative commons)(?: by| attribution)(?: nc| non ?commercial)(?: [1-4](?: [05])?)?", True),
+    ("cc-by-nd", "cc|creative commons", r"(?:cc|creative commons)(?: by| attribution)(?: nd| no ?deriv\w+)(?: [1-4](?: [05])?)?", True),
+    ("cc-by-sa", "cc|creative commons", r"(?:cc|creative commons)(?: by| attribution)(?: sa| share ?alike)(?: [1-4](?: [05])?)?", True),
+    ("cc-by", "cc|creative commons", r"(?:cc|creative commons)(?: by| attribution)(?: [1-4](?: [05])?)?", False),
+    ("odbl", "odbl|open database", r"open database license|odbl", True),
+    ("odc-by", "odc by|open data commons", r"open data commons attribution license|odc by", True),
     ("public-domain", "public domain", r"(?:the )?public domain", False),
 ]
 
@@ -84,7 +84,7 @@ GRANT = r"(?:licensed|released|distributed|available|provided|published|covered|
 FRAMES = [
     (100, 1.0, "spdx", r"spdx license identifier (?:{})"),
     (90, 0.98, "under", GRANT + r" under (?:the )?(?:terms (?:and conditions )?of (?:the )?|conditions of (?:the )?)?(?:{})(?: licen[cs]e)?"),
-    (80, 0.95, "licen", r"(?:this|the) (?:work|software|program|project|file|code|document|package|library|text|page|content) (?:is|are) (?:\S+ ){{0,3}}(?:{})(?: licen[cs]e)?"),
+    (80, 0.95, "th", r"(?:this|the) (?:work|software|program|project|file|code|document|package|library|text|page|content) (?:is|are) (?:\S+ ){{0,3}}(?:{})(?: licen[cs]e)?"),
     (70, 0.9, "licen", r"(?:under|see|with|by) (?:the )?(?:{}) licen[cs]e"),
     (60, 0.8, "licen", r"licen[cs]e (?:is )?(?:the )?(?:{})"),
     (50, 0.7, "licen", r"(?:the )?(?:{}) licen[cs]e"),
@@ -93,7 +93,7 @@ FRAMES = [
 
 #: (label, priority, confidence, keyword, regular expression): terms without a licence's name.
 TERMS = [
-    ("proprietary", 85, 0.9, "rights reserved", r"all rights (?:are )?reserved"),
+    ("proprietary", 85, 0.9, "reserved", r"all rights (?:are )?reserved"),
     ("proprietary", 95, 0.95, "proprietary", r"proprietary and confidential"),
     ("proprietary", 85, 0.9, "permission", r"may not be (?:copied|reproduced|redistributed|distributed) without (?:prior |express |written )*permission"),
     ("mit", 95, 0.97, "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -111,27 +111,32 @@ class Rule:
     label: str
     priority: int
     confidence: float
-    keywords: tuple[bytes, ...]
+    keywords: tuple[tuple[bytes, ...], ...]  # one of each
     pattern: re.Pattern
 
 
 def build_rules() -> list[Rule]:
     """All rules, the highest priority first."""
-    found = [Rule(label, priority, confidence, (keyword.encode(),), _compiled(rx)) for label, priority, confidence, keyword, rx in TERMS]
+    found = [Rule(label, priority, confidence, _keywords(keyword), _compiled(rx)) for label, priority, confidence, keyword, rx in TERMS]
     for label, keyword, name, bare in NAMES:
         for priority, confidence, gate, frame in FRAMES:
             if gate or bare:
-                found.append(Rule(label, priority, confidence, tuple(x.encode() for x in (keyword, gate) if x), _compiled(frame.format(name))))
+                found.append(Rule(label, priority, confidence, _keywords(keyword, gate), _compiled(frame.format(name))))
     return sorted(found, key=lambda r: -r.priority)
 
 
+def _keywords(*any_of: str) -> tuple[tuple[bytes, ...], ...]:
+    return tuple(tuple(x.encode() for x in k.split("|")) for k in any_of if k)
+
+
 def _compiled(words: str) -> re.Pattern:
     return re.compile(rf"(?<= )(?:{words})(?= )".encode())
 
 
 RULES = build_rules()
+KEYWORDS = {k for r in RULES for k in r.keywords}
 #: A text without any of these holds no match of any rule: a keyword from each rule's literals.
-GATES = (b"licen", b"rights", b"proprietary", b"permission", b"redistribution", b"endorse", b"unencumbered", b" as is ", b"public domain", b"apache", b"bsd", b"gpl", b"gnu ", b" mpl ", b"mozilla", b"epl ", b"eclipse", b"eupl", b"european union", b"cddl", b"common ", b"wtfpl", b"cc0", b" cc ", b"creative commons", b"odbl", b"odc ", b"open d", b"mit no attribution", b"spdx", b" under ", b"x11")
+GATES = (b"licen", b"reserved", b"proprietary", b"permission", b"redistribution", b"endorse", b"unencumbered", b" as is ", b"public domain", b"apache", b"bsd", b"gpl", b"gnu ", b" mpl ", b"mozilla", b"epl ", b"eclipse", b"eupl", b"european union", b"cddl", b"common ", b"wtfpl", b"cc0", b" cc ", b"creative commons", b"odbl", b"odc ", b"open d", b"mit no attribution", b"spdx", b" under ", b"x11", b" mit ", b" isc ", b" zlib ", b"libpng", b"openssl", b"postgresql", b" ms pl ", b" ms rl ", b"ncsa", b" ofl ", b" psf ")
 
 
 def detect(text: bytes) -> list[tuple[int, int, Rule]]:
@@ -139,8 +144,9 @@ def detect(text: bytes) -> list[tuple[int, int, Rule]]:
     if not any(g in text for g in GATES):
         return []
     found = []
+    here = {k: any(x in text for x in k) for k in KEYWORDS}
     for rule in RULES:
-        if all(k in text for k in rule.keywords):
+        if all(here[k] for k in rule.keywords):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
     kept: list[tuple[int, int, Rule]] = []

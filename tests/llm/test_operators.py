@@ -426,3 +426,15 @@ def test_passages_with_spread_edits_and_gaps_near_the_ends(spark):
     assert set(out) == {(i, i - 1) for i in whole}
     assert all(r.similarity >= 0.8 and r.end - r.start >= 50 for r in out.values())
     assert all(out[i, i - 1].end - out[i, i - 1].start == 56 for i in list(whole)[-2:])
+
+
+def test_license_gates_drop_nothing(monkeypatch):
+    says = ["this work is in the public domain", "this code is gpl", "this work is cc by 4 0", "bsd zero clause", "common development and distribution license", "all rights are reserved", "this file is zlib", "this library is mit", "the page is ms pl"]
+    names = [x for *_, name, _ in licenses.NAMES for x in re.sub(r"\(\?:[^()]*\)\??", "", name).split("|") if re.fullmatch(r"[\w ]+", x)]
+    texts = [f" {x} ".encode() for x in says + names + [f"{f} {x}" for x in names for f in ("this work is", "released under", "see the")]]
+    gated = [licenses.detect(t) for t in texts]
+    assert all(gated[: len(says)])
+    label = lambda found: [(s, e, r.label, r.priority) for s, e, r in found]
+    monkeypatch.setattr(licenses, "RULES", [licenses.Rule(r.label, r.priority, r.confidence, (), r.pattern) for r in licenses.RULES])
+    monkeypatch.setattr(licenses, "GATES", (b" ",))
+    assert [label(x) for x in gated] == [label(licenses.detect(t)) for t in texts]
