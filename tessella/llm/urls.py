@@ -2,7 +2,8 @@
 
 Explicit rules (host, path prefix) decide first. Their verdicts are also the labels from which the tree learns. Per host, paths form
 a tree of segments. A segment's runs of digits are one shape; a node with many different children has a variable segment, and its rare
-children become one wildcard; siblings whose children are distributed alike and whose labels agree are merged. Each leaf of the
+children become one wildcard; siblings whose children are distributed alike and whose labels agree are merged (those without labels
+go with the labelled ones if all of these agree). Each leaf of the
 generalised tree is a template, and a template is rejected if its labelled pages are, after smoothing, nearly all blocked.
 
 The tree is built from counts of distinct (host, shape of path), which are pre-aggregated before each shuffle.
@@ -62,6 +63,10 @@ def templates(counts: DataFrame) -> DataFrame:
     node = F.when(F.col("depth") == 0, F.col("segment")).otherwise(F.concat("above", F.lit("/"), "segment"))
     branches = named.withColumn("node", node).withColumn("leaning", leaning).join(below, ["host", "node", "depth"], "left")
     branches = branches.withColumn("profile", F.coalesce("profile", F.lit("")))
+    # Branches without labels say nothing against a merge: they go with the labelled ones of their profile, if those agree.
+    alike = ["host", "above", "depth", "profile"]
+    agreed = branches.where("not wild and leaning <> 'none'").groupBy(*alike).agg(F.min("leaning").alias("agreed"), F.max("leaning").alias("other")).where("agreed = other").drop("other")
+    branches = branches.join(agreed, alike, "left").withColumn("leaning", F.when(F.col("leaning") == "none", F.coalesce("agreed", "leaning")).otherwise(F.col("leaning"))).drop("agreed")
     merged = branches.where("not wild").groupBy("host", "above", "depth", "profile", "leaning").agg(F.min("segment").alias("leader"), F.count(F.lit(1)).alias("alike"))
     branches = branches.join(merged, ["host", "above", "depth", "profile", "leaning"], "left")
     label = F.when(F.col("wild"), "*").when(F.col("alike") > 1, F.concat(F.lit("{"), "leader", F.lit(",..}"))).otherwise(F.col("segment"))

@@ -438,3 +438,11 @@ def test_license_gates_drop_nothing(monkeypatch):
     monkeypatch.setattr(licenses, "RULES", [licenses.Rule(r.label, r.priority, r.confidence, (), r.pattern) for r in licenses.RULES])
     monkeypatch.setattr(licenses, "GATES", (b" ",))
     assert [label(x) for x in gated] == [label(licenses.detect(t)) for t in texts]
+
+
+def test_unruled_pages_are_blocked_with_their_siblings(spark):
+    pages = [(i, f"http://s.example.com/en/a/{i}") for i in range(30)] + [(100 + i, f"http://s.example.com/fr/a/{i}") for i in range(5)]
+    pages += [(200 + i, f"http://t.example.com/{x}/a/{i}") for i, x in enumerate(["en", "en/7", "fr"] * 20)]
+    got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), [*RULES, ("allow", "t.example.com", "/en/")]).collect()}
+    assert got[100].rule is None and got[100].verdict == "block" and got[100].template == got[0].template
+    assert got[202].verdict == "allow"
