@@ -446,3 +446,13 @@ def test_unruled_pages_are_blocked_with_their_siblings(spark):
     got = {r.page_id: r for r in urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), [*RULES, ("allow", "t.example.com", "/en/")]).collect()}
     assert got[100].rule is None and got[100].verdict == "block" and got[100].template == got[0].template
     assert got[202].verdict == "allow"
+
+
+def test_equal_stretches_of_a_chain_that_links_too_much(spark):
+    rng = random.Random(13)
+    same, texts = [prose(rng, 50, 10**6) for _ in range(4)], []
+    for _ in range(2):
+        texts.append(" ".join(x + " " + prose(rng, 24, 10**6) for x in same))
+    out = passages.repeated_passages(frame(spark, texts)).collect()
+    covered = {w for r in out for w in range(r.start, r.end)}
+    assert {w for i in range(4) for w in range(74 * i, 74 * i + 50)} <= covered
