@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .assign import assign
 from .lloyd import Run, kmeans
@@ -37,10 +37,10 @@ class KMeans:
 
     def train(self, points: DataFrame, init: DataFrame | None = None) -> None:
         """Fits centroids to points (batch_id, point_id, features)."""
+        first = points.select(F.size("features").alias("d")).first()
+        if first is not None and first.d != self.d:
+            raise ValueError(f"points have {first.d} components, not {self.d}")
         run = kmeans(points, self.k, "euclidean", self.niter, self.tol, init, self.seed, self._engine(), self.return_updated, self.verbose)
-        first = run.centers.first()
-        if len(first.center) != self.d:
-            raise ValueError(f"points have {len(first.center)} components, not {self.d}")
         self.batches = {r.batch_id for r in run.centers.select("batch_id").distinct().collect()}
         self.run = run
 

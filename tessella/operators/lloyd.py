@@ -56,7 +56,7 @@ def kmeans(
     start = init if init is not None else seeded(points, k, seed)
     if metric == "cosine":
         points = points.withColumn("features", l2_normalize(F.col("features")))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = points.storageLevel.useMemory or points.storageLevel.useDisk  # a table that the caller cached stays cached
     centers = from_frame(start)
     if not centers:
         raise ValueError("there are no points")
@@ -66,19 +66,23 @@ def kmeans(
         centers = {b: unit(c) for b, c in centers.items()}
     history: list[float] = []
     before = centers
-    for _ in range(max_iters):
-        before = centers
-        new = (_arrow_step if engine == "arrow" else _sql_step)(points, centers, metric)
-        move = max(float(np.linalg.norm(new[b] - centers[b], axis=1).max()) for b in centers)
-        history.append(move)
-        if verbose:
-            print(f"iteration {len(history)}: shift {move:.6g}")
-        stop = move < tol
-        centers = new if return_updated or not stop else centers
-        if stop:
-            break
-    labels = assign(points, before, metric, engine)
-    return Run(labels, to_frame(spark, centers), len(history), history)
+    cached = points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(max_iters):
+            before = centers
+            new = (_arrow_step if engine == "arrow" else _sql_step)(cached, centers, metric)
+            move = max(float(np.linalg.norm(new[b] - centers[b], axis=1).max()) for b in centers)
+            history.append(move)
+            if verbose:
+                print(f"iteration {len(history)}: shift {move:.6g}")
+            stop = move < tol
+            centers = new if return_updated or not stop else centers
+            if stop:
+                break
+    finally:
+        if not kept:
+            cached.unpersist()
+    return Run(assign(points, before, metric, engine), to_frame(spark, centers), len(history), history)
 
 
 def _arrow_step(points: DataFrame, centers: Centers, metric: str) -> Centers:
@@ -91,4 +95,4 @@ def _sql_step(points: DataFrame, centers: Centers, metric: str) -> Centers:
     frame = to_frame(points.sparkSession, centers)
     best = nearest(F.col("features"), F.col("cs"), metric)["cluster_id"]
     labelled = points.join(F.broadcast(packed(frame)), "batch_id").select("batch_id", best.alias("cluster_id"), "features")
-    return from_frame(finalize(partial_sums(labelled), frame, metric != "euclidean"))
+    return from_frame(finalize(partial_sums(labelled, "sql"), frame, metric != "euclidean"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessella.functions.vectors import EPS, l2_normalize, movement
 
 from .assign import columns, label
-from .centroids import Centers
+from .centroids import Centers, lists
 
 PARTIALS = "batch_id long, cluster_id int, sum array<double>, cnt long"
 
@@ -23,12 +23,16 @@ def clamped(labels: DataFrame, k: int) -> DataFrame:
     return labels.withColumn("cluster_id", F.when((F.col("cluster_id") >= k) | (F.col("cluster_id") < 0), 0).otherwise(F.col("cluster_id")))
 
 
-def partial_sums(labelled: DataFrame) -> DataFrame:
-    """Sums and counts of (batch_id, cluster_id, features) rows, by position and all in the JVM; combined before the shuffle."""
-    parts = labelled.select("batch_id", "cluster_id", F.posexplode("features").alias("pos", "value"))
-    sums = parts.groupBy("batch_id", "cluster_id", "pos").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("cnt"))
-    row = F.sort_array(F.collect_list(F.struct("pos", "value")))
-    return sums.groupBy("batch_id", "cluster_id").agg(F.transform(row, lambda x: x["value"]).alias("sum"), F.max("cnt").alias("cnt"))
+def partial_sums(labelled: DataFrame, engine: str = "arrow") -> DataFrame:
+    """Sums and counts of (batch_id, cluster_id, features) rows; whole arrays in Arrow, combined in each task before the shuffle, or
+    ('sql') by position and all in the JVM."""
+    if engine == "sql":
+        parts = labelled.select("batch_id", "cluster_id", F.posexplode("features").alias("pos", "value"))
+        sums = parts.groupBy("batch_id", "cluster_id", "pos").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("cnt"))
+        row = F.sort_array(F.collect_list(F.struct("pos", "value")))
+        return sums.groupBy("batch_id", "cluster_id").agg(F.transform(row, lambda x: x["value"]).alias("sum"), F.max("cnt").alias("cnt"))
+    rows = labelled.select(F.col("batch_id").cast("long"), F.col("cluster_id").cast("int"), F.col("features").alias("sum"), F.lit(1).cast("long").alias("cnt"))
+    return added(rows.mapInArrow(tallied, PARTIALS))
 
 
 def merge_sums(*partials: DataFrame) -> DataFrame:
@@ -36,9 +40,7 @@ def merge_sums(*partials: DataFrame) -> DataFrame:
     whole = partials[0]
     for p in partials[1:]:
         whole = whole.unionByName(p)
-    sums = whole.select("batch_id", "cluster_id", F.posexplode("sum").alias("pos", "value"), "cnt").groupBy("batch_id", "cluster_id", "pos").agg(F.sum("value").alias("value"), F.sum("cnt").alias("cnt"))
-    row = F.sort_array(F.collect_list(F.struct("pos", "value")))
-    return sums.groupBy("batch_id", "cluster_id").agg(F.transform(row, lambda x: x["value"]).alias("sum"), F.max("cnt").alias("cnt"))
+    return added(whole.select("batch_id", "cluster_id", "sum", "cnt"))
 
 
 def finalize(partials: DataFrame, old: DataFrame, normalize: bool = False) -> DataFrame:
@@ -75,8 +77,8 @@ def max_shift(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def step_sums(points: DataFrame, centers: Centers, metric: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Assignment and sums in one pass: a task sends at most batches times K sums, whatever its number of points. They are combined on
-    the executors down to one row per cluster and collected (batches times K rows)."""
+    """Assignment and sums in one pass: a task sends at most batches times K sums, whatever its number of points. Few are added up on
+    the driver, more by cluster on the executors first."""
     sent = points.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
@@ -95,23 +97,68 @@ def step_sums(points: DataFrame, centers: Centers, metric: str) -> dict[int, tup
                 counts[b] += np.bincount(ids, minlength=len(counts[b]))
         out = [(b, int(k), sums[b][k], int(counts[b][k])) for b in sums for k in np.flatnonzero(counts[b])]
         if out:
-            width = len(out[0][2])
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * width, pa.int32()), pa.array(np.concatenate([o[2] for o in out])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), flat, pa.array([o[3] for o in out], pa.int64())], ["batch_id", "cluster_id", "sum", "cnt"])
-
-    parts = points.select("batch_id", "point_id", "features").mapInArrow(run, PARTIALS)
-    if points.rdd.getNumPartitions() > MOST_PARTS:
-        parts = merge_sums(parts)
+            yield partials(out)
+
+    spark = points.sparkSession
+    parts = points.select("batch_id", "point_id", "features")
+    tasks, most = points.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism
+    if tasks > most:  # a task's sums are as many whatever its points, so there are only as many tasks as can run at once, twice over
+        parts, tasks = parts.coalesce(most), most
+    parts = parts.mapInArrow(run, PARTIALS)
+    n = sum(c.size for c in centers.values())
+    if 8 * n * tasks > MOST_BYTES:
+        parts = added(parts, min(tasks, sum(len(c) for c in centers.values())))
     found = {b: (np.zeros(c.shape), np.zeros(len(c), np.int64)) for b, c in centers.items()}
-    for r in parts.toLocalIterator():
-        found[r.batch_id][0][r.cluster_id] += np.array(r["sum"])
-        found[r.batch_id][1][r.cluster_id] += r.cnt
-    sent.unpersist()
+    table = parts.toArrow()  # all tasks at once; at most MOST_BYTES, or batches times K rows
+    for batch in table.to_batches():
+        add_rows(found, batch)
+    sent.destroy()
     return found
 
 
-#: Tasks whose sums are merged on the driver; those of more are merged by a shuffle first.
-MOST_PARTS = 64
+#: Bytes of sums that the driver adds up; more are added by cluster on the executors first.
+MOST_BYTES = 1 << 26
+
+
+def add_rows(found: dict[int, tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> None:
+    """Adds rows of PARTIALS to the sums of their batches and clusters."""
+    if not batch.num_rows:
+        return
+    owner, cluster, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+    rows = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+    for b in np.unique(owner).tolist():
+        own = owner == b
+        np.add.at(found[b][0], cluster[own], rows[own])
+        np.add.at(found[b][1], cluster[own], n[own])
+
+
+def tallied(batches):
+    """PARTIALS summed by batch and cluster within a task, whole arrays at a time. A task holds batches times K rows."""
+    total: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        owner, cluster, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+        order = np.lexsort((cluster, owner))
+        new = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(cluster[order]) != 0))
+        first = np.flatnonzero(new)
+        sums, counts = np.add.reduceat(rows[order], first), np.add.reduceat(n[order], first)
+        for i, j in enumerate(order[first].tolist()):
+            own = total.setdefault((int(owner[j]), int(cluster[j])), [0.0, 0])
+            own[0], own[1] = own[0] + sums[i], own[1] + int(counts[i])
+    if total:
+        yield partials([(b, k, *own) for (b, k), own in total.items()])
+
+
+def added(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """PARTIALS summed by batch and cluster after an exchange on these."""
+    keys = ["batch_id", "cluster_id"]
+    return (parts.repartition(tasks, *keys) if tasks else parts.repartition(*keys)).mapInArrow(tallied, PARTIALS)
+
+
+def partials(out: list[tuple[int, int, np.ndarray, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), lists(np.stack([o[2] for o in out])), pa.array([o[3] for o in out], pa.int64())], ["batch_id", "cluster_id", "sum", "cnt"])
 
 
 def centers_of(sent) -> Centers:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,7 @@ from tessella.functions import vectors as V
 from tessella.operators import assign as A, centroids as C, update as U
 from tessella.operators.estimator import KMeans
 from tessella.operators.lloyd import Run, kmeans
-from tessella.sources.points import as_points, blocks, read_points, unbatched
+from tessella.sources.points import as_points, blocks, read_points, unbatched, write_labels
 
 from . import sql
 
@@ -223,8 +224,45 @@ def cluster_sizes(spark, sf_dir):
     return _run(spark, sf_dir).labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def float_points(spark, sf_dir):
+    """Single precision asked for: components are rounded to it."""
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    points = as_points(df.withColumn("v", F.array(F.col("p_retailprice") / 3, F.col("p_size") / 7)), "p_partkey", "v", compute_type="float")
+    return points.select(F.col("point_id").alias("p_partkey"), rounded(F.col("features")[0]).alias("x"), rounded(F.col("features")[1]).alias("y"))
+
+
+def write_labels_round_trip(spark, sf_dir):
+    """Labels written by the sink and read again (to the folder that driver and executors share)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/labels-{uuid.uuid4().hex}"
+    write_labels(_run(spark, sf_dir).labels, path)
+    return labels(spark.read.parquet(path))
+
+
+def estimator_auto(spark, sf_dir):
+    """The estimator that picks its engine itself, over batches."""
+    points = embeddings(spark, sf_dir, batch=True)
+    out = KMeans(64, 3, niter=T, tol=0.0, engine="auto").fit_predict(points, start(points, 3))
+    return out.select("batch_id", F.col("point_id").alias("vec_id"), "cluster_id")
+
+
+def kmeans_seeded_labels(spark, sf_dir):
+    """A whole run from a drawn start (fixed uniforms)."""
+    points = embeddings(spark, sf_dir)
+    return labels(kmeans(points, len(sql.UNIFORMS), max_iters=T, init=C.seeded(points, len(sql.UNIFORMS), uniforms={0: sql.UNIFORMS})).labels)
+
+
+def kmeans_seeded_events(spark, sf_dir):
+    """The same over the values of all events by their type, of which there are many more."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    points = as_points(df.withColumn("b", F.ascii("event_type")), "event_id", ["value"], "b")
+    batches = [r.batch_id for r in points.select("batch_id").distinct().collect()]
+    drawn = C.seeded(points, len(sql.UNIFORMS), uniforms={b: sql.UNIFORMS for b in batches})
+    return drawn.select("batch_id", "cluster_id", rounded(F.col("center")[0]).alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (scan_points, batch_lift, column_points, sq_norm, centroid_sq_norm, l2_normalize, dot_cross, sq_dist, init_first_k, init_seeded, assign_blocked, assign_tie_duplicate_centroids, assign_batched, partial_sums_counts, merge_partials, update_empty_cluster, update_id_clamp, center_shift, max_shift, kmeans_trace, fit_predict, predict, cluster_sizes)
+    plain = (scan_points, batch_lift, column_points, sq_norm, centroid_sq_norm, l2_normalize, dot_cross, sq_dist, init_first_k, init_seeded, assign_blocked, assign_tie_duplicate_centroids, assign_batched, partial_sums_counts, merge_partials, update_empty_cluster, update_id_clamp, center_shift, max_shift, kmeans_trace, fit_predict, predict, cluster_sizes, float_points, write_labels_round_trip, estimator_auto, kmeans_seeded_labels, kmeans_seeded_events)
     found = {f.__name__: f for f in plain} | {"update_euclid": update_euclid, "update_cosine": update_cosine}
     found |= {f"assign_{m}": _assign(m) for m in METRICS}
     found |= {f"assign_{m}_with_dist": _assign(m, "sql", True) for m in METRICS} | {"assign_join": _assign("euclidean", "join", True)}

@@ -46,9 +46,16 @@ def moved(name: str, old: str, new: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT max(sqrt(list_sum(list_transform(list_zip(o.c, n.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS shift FROM {old} o JOIN {new} n ON o.b = n.b AND o.cid = n.cid)"
 
 
-def iterations(metric: str, t: int, batch: bool = False, k: int = K) -> str:
+def drawn() -> str:
+    """The start that the fixed uniforms draw."""
+    draws = ", ".join(f"({i}, CAST({u} AS DOUBLE))" for i, u in enumerate(UNIFORMS))
+    return f"""u(cid, u) AS (VALUES {draws}), r AS (SELECT b, x, row_number() OVER (PARTITION BY b ORDER BY vec_id) - 1 AS r, count(*) OVER (PARTITION BY b) AS n FROM p),
+c0 AS MATERIALIZED (SELECT r.b, CAST(u.cid AS INTEGER) AS cid, r.x AS c FROM u JOIN r ON r.r = CAST(floor(u.u * r.n) AS BIGINT))"""
+
+
+def iterations(metric: str, t: int, batch: bool = False, k: int = K, start: str | None = None) -> str:
     """a1 to at: labels of iteration i (by c(i-1)); c1 to ct: centroids after it; s1 to st: moves."""
-    parts = [points(batch), first(k)]
+    parts = [points(batch), start or first(k)]
     if metric == "cosine":
         parts = [points(batch).replace("p AS", "raw AS"), f"p AS MATERIALIZED (SELECT b, vec_id, {unit('x')} AS x FROM raw)", first(k)]
     for i in range(1, t + 1):
@@ -132,6 +139,13 @@ SELECT CAST(u.cluster_id AS INTEGER) AS cluster_id, r.vec_id FROM u JOIN r ON r.
         "predict": f"{iterations('euclidean', T)}, {assigned('z', f'c{T}', 'euclidean')} SELECT vec_id, best.cid AS cluster_id FROM z",
         "cluster_sizes": f"{iterations('euclidean', T)} SELECT best.cid AS cluster_id, count(*) AS n FROM a{T} GROUP BY 1",
         "assign_join": assign_of("euclidean", True),
+        "float_points": "SELECT p_partkey, round(CAST(CAST(p_retailprice / 3 AS FLOAT) AS DOUBLE), 6) + 0.0 AS x, round(CAST(CAST(p_size / 7 AS FLOAT) AS DOUBLE), 6) + 0.0 AS y FROM part",
+        "write_labels_round_trip": labels_of("euclidean"),
+        "estimator_auto": labels_of("euclidean", T, True, 3),
+        "kmeans_seeded_labels": f"{iterations('euclidean', T, start=drawn())} SELECT vec_id, best.cid AS cluster_id FROM a{T}",
+        "kmeans_seeded_events": f"""WITH u(cluster_id, u) AS (VALUES {draws}),
+r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT CAST(ascii(event_type) AS BIGINT) AS batch_id, CAST(u.cluster_id AS INTEGER) AS cluster_id, round(r.value, 6) + 0.0 AS value FROM u JOIN r ON r.r = CAST(floor(u.u * r.n) AS BIGINT)""",
         "kmeans_sql_labels": labels_of("euclidean"),
         **{f"assign_{m}": assign_of(m, False) for m in ("euclidean", "cosine", "dot")},
         **{f"assign_{m}_with_dist": assign_of(m, True) for m in ("euclidean", "cosine", "dot")},

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from tessella.operators import assign as A, centroids as C, update as U
 from tessella.operators.estimator import KMeans
 from tessella.operators.lloyd import kmeans
@@ -150,6 +152,55 @@ def test_seeded_start(spark):
     assert kmeans(p, 3, max_iters=2, seed=1).n_iter == 2
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+@pytest.mark.parametrize("mixed", [False, True])
+def test_seeded_start_of_many_points(spark, n, mixed):
+    """Any partitioning and width of rows; AQE and partitions as Spark has them by itself."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.unset("spark.sql.shuffle.partitions")
+    try:
+        width = F.when(F.col("id") % 97 == 0, 400).otherwise(4) if mixed else F.lit(64)
+        p = spark.range(n, numPartitions=5).select(F.lit(3).cast("long").alias("batch_id"), (F.col("id") * F.col("id") - 7).alias("point_id"), F.transform(F.sequence(F.lit(1), width), lambda i: F.col("id") + 0.5 * i).alias("features"))
+        drawn = {r.cluster_id: r.center[0] - 0.5 for r in C.seeded(p.repartition(7), 16, seed=5).collect()}
+        assert drawn == {i: float(int(u * n)) for i, u in enumerate(C.draws(16, [3], 5)[3])}
+        if not mixed:
+            assert kmeans(p, 16, max_iters=1, seed=5).n_iter == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_starts_of_batches_and_odd_ids(spark):
+    ids = {0: [-(2**63), -5, 0, 2**63 - 1], 1: [7], -9: list(range(300))}
+    p = spark.createDataFrame([(b, i, [float(k)]) for b, own in ids.items() for k, i in enumerate(own)], POINTS).repartition(3)
+    first = sorted((r.batch_id, r.cluster_id, r.center[0]) for r in C.first_k(p, 3).collect())
+    assert first == sorted((b, k, float(k)) for b, own in ids.items() for k in range(min(3, len(own))))
+    twice = p.unionByName(p.withColumn("features", F.array(F.lit(-1.0))))
+    assert {r.center[0] for r in C.first_k(twice, 2).collect()} == {-1.0}
+    assert C.first_k(p.limit(0), 2).count() == 0
+    run = kmeans(p, 2, max_iters=2, seed=3)
+    assert {b: c.shape for b, c in C.from_frame(run.centers).items()} == {b: (2, 1) for b in ids}
+
+
+def test_many_tasks_sum_by_cluster_first(spark, monkeypatch):
+    monkeypatch.setattr(U, "MOST_BYTES", 8)
+    x = np.random.default_rng(12).normal(size=(300, 3))
+    p = points(spark, x).repartition(40)
+    run = kmeans(p, 5, max_iters=3, init=centers(spark, x[:5]))
+    assert np.allclose(C.from_frame(run.centers)[0], oracle(x, x[:5], "euclidean", 3)[1]) and not p.storageLevel.useMemory
+
+
+def test_too_many_centroids_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(C, "MOST_BYTES", 100)
+    with pytest.raises(Exception, match="too many"):
+        C.from_frame(centers(spark, np.zeros((20, 3))))
+
+
+def test_public_names():
+    import tessella
+
+    assert all(getattr(tessella, x) for x in tessella.__all__) and {"KMeans", "kmeans"} <= set(tessella.__all__)
+
+
 def test_parts_merge_and_clamp(spark):
     x = np.random.default_rng(10).normal(size=(30, 3))
     p = points(spark, x)
