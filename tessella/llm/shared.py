@@ -30,11 +30,13 @@ def kept(key: Hashable, make: Callable[[], Kept]) -> Kept:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, local mode) a temporary folder is made and set as the checkpoint folder.
+    Only where it is unset and the master is local (tests) a temporary folder is made and set as the checkpoint folder.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: operators need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not context.getCheckpointDir():
@@ -59,6 +61,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What Catalyst expects to read from the files, in bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the n + 1 offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -262,7 +262,8 @@ def test_passages(spark):
     texts = ODD + [prose(rng, 200, 10**6) + " " + shared, prose(rng, 20, 10**6) + ". " + shared.upper() + " " + prose(rng, 30, 10**6), edited, other + " " + prose(rng, 20, 10**6), prose(rng, 90, 10**6) + " " + other, prose(rng, 300, 10**6), " ".join(shared.split()[:30])]
     n = len(ODD)
     out = passages.repeated_passages(frame(spark, texts)).collect()
-    assert {(r.doc_id, r.source_id) for r in out} == {(n + 1, n), (n + 2, n), (n + 4, n + 3)}
+    links = {(n + 1, n), (n + 2, n), (n + 4, n + 3)}  # with the first document, and with the one before as well
+    assert links <= {(r.doc_id, r.source_id) for r in out} <= links | {(n + 2, n + 1)}
     exact = next(r for r in out if r.doc_id == n + 1)
     assert (exact.start, exact.end, exact.source_start, exact.similarity) == (20, 100, 200, 1.0)
     fuzzy = next(r for r in out if r.doc_id == n + 2)
@@ -291,7 +292,7 @@ def test_chains_are_best():
                     new = min(passages.K, p[i] - p[j], q[i] - q[j])
                     best[i] = max(best[i], best[j] + new - passages.GAP / 2 * (p[i] - p[j] + q[i] - q[j] - 2 * new))
         end = passages.chains(p, q)[0][-1]
-        assert best[end] == pytest.approx(best.max(), abs=passages.K)
+        assert best[end] == pytest.approx(best.max())
 
 
 def test_minimizers_cover_every_window():
