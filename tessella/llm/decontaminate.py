@@ -30,7 +30,7 @@ SHARD_BYTES = 2 << 20
 #: Phrases that are sent at once (each has at most `window` terms of 8 bytes).
 BLOCK = 100_000
 
-SHARD = "doc_ids binary, first binary, terms binary, ends binary, gaps binary"
+SHARD = "doc_ids binary, text_hashes binary, first binary, terms binary, ends binary, gaps binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -65,6 +65,7 @@ def build_index(docs: DataFrame, window: int, id_col: str = "doc_id", text_col:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             ids = np.where(np.asarray(ids.is_null()), np.iinfo(np.int64).min, np.asarray(ids.fill_null(0)))
+            text_hash = batch.column(2).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             for a, b in pieces(offsets, SHARD_BYTES):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
@@ -79,17 +80,17 @@ def build_index(docs: DataFrame, window: int, id_col: str = "doc_id", text_col:
                 for bits in range(7, 64, 7):
                     size += gaps >= 1 << bits
                 ends = np.append(np.cumsum(size)[np.flatnonzero(new)[1:] - 1], size.sum()) if len(h) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids[a:b].tobytes(), first.astype(np.int64).tobytes(), h[new].tobytes(), ends.astype(np.int64).tobytes(), pack(gaps))], ["doc_ids", "first", "terms", "ends", "gaps"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids[a:b].tobytes(), text_hash[a:b].tobytes(), first.astype(np.int64).tobytes(), h[new].tobytes(), ends.astype(np.int64).tobytes(), pack(gaps))], ["doc_ids", "text_hashes", "first", "terms", "ends", "gaps"])
 
     spark = docs.sparkSession
     path = new_path(spark, "index")
-    docs.select(id_col, text_col).mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    docs.select(id_col, text_col, F.xxhash64(F.col(text_col)).alias("text_hash")).mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(SHARD).parquet(path)
 
 
 class Shard:
-    def __init__(self, doc_ids: bytes, first: bytes, terms: bytes, ends: bytes, gaps: bytes, window: int):
-        self.doc_ids, self.first = np.frombuffer(doc_ids, np.int64), np.frombuffer(first, np.int64)
+    def __init__(self, doc_ids: bytes, text_hashes: bytes, first: bytes, terms: bytes, ends: bytes, gaps: bytes, window: int):
+        self.doc_ids, self.text_hashes, self.first = (np.frombuffer(x, np.int64) for x in (doc_ids, text_hashes, first))
         self.terms, self.ends, self.gaps = np.frombuffer(terms, np.uint64), np.frombuffer(ends, np.int64), np.frombuffer(gaps, np.uint8)
         self.base = self.first[:-1] + np.arange(len(self.doc_ids)) * window  # position of each document's first word
         self.lists: dict[int, np.ndarray] = {}
@@ -165,12 +166,12 @@ def phrases_of(benchmark: DataFrame, window: int, id_col: str = "item_id", text_
         yield block()
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<struct<start:long,end:long>>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hits array<struct<start:long,end:long>>, text_hash long"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_hit (words inside an occurrence of a window of a benchmark item), n_items and digest of the items with
-    occurring windows, contaminated (n_hit > 0), and the hit stretches as word positions.
+    occurring windows, contaminated (n_hit > 0), the hit stretches as word positions, and text_hash (xxhash64 of the text).
 
     A benchmark without words contaminates nothing; a null item id takes no part.
     """
@@ -182,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = Shard(*[batch.column(j)[k].as_buffer() for j in range(5)], window)
+                shard = Shard(*[batch.column(j)[k].as_buffer() for j in range(6)], window)
                 stretches: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 items: dict[int, set[str]] = defaultdict(set)
                 for block in blocks:
@@ -201,8 +202,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
                 digest = [hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest() if d in items else none for d in range(len(n))]
                 null = np.iinfo(np.int64).min
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == null), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(d, ())) for d in range(len(n))], pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit]), pa.array([[{"start": s, "end": e} for s, e in x] for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits"],
+                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == null), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(d, ())) for d in range(len(n))], pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit]), pa.array([[{"start": s, "end": e} for s, e in x] for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(shard.text_hashes)],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "text_hash"],
                 )
 
     return index.mapInArrow(run, RESULT)
@@ -219,7 +220,7 @@ def proximity(index: DataFrame, phrases: list[str], distance: int, window: int)
         for batch in batches:
             out = []
             for k in range(batch.num_rows):
-                shard = Shard(*[batch.column(j)[k].as_buffer() for j in range(5)], window)
+                shard = Shard(*[batch.column(j)[k].as_buffer() for j in range(6)], window)
                 for phrase, terms in zip(phrases, queries, strict=True):
                     at = shard.find(terms)
                     if not len(at) or at.min() < 0:

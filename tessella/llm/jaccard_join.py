@@ -149,13 +149,13 @@ def tally(count: np.ndarray, sets: list[np.ndarray], shift: np.uint64) -> None:
 
 
 def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included).
+    """Per row: doc_id, n_shingles, component_id (the smallest id that links lead to, its own included), text_hash (xxhash64 of the text).
 
     Documents link if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles; one with fewer words has them all as its
     only shingle; null texts and those without words have an empty set and link with nothing, and a null id takes no part. Repeated
-    rows are copies. Other columns aren't looked at.
+    rows are copies; different texts under one id are compared as documents of their own. Other columns aren't looked at.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     context = docs.sparkSession.sparkContext
     counters = counters or n_counters(docs)
     shift = np.uint64(65 - counters.bit_length())
@@ -179,20 +179,22 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
                     prefix.append(())
                 sketch.append(np.minimum(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
             many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(subsets, many), pa.array(prefix, many), pa.array(sketch, pa.binary())], ["doc_id", "n", "h1", "h2", "subsets", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(subsets, many), pa.array(prefix, many), pa.array(sketch, pa.binary()), batch.column(2)], ["doc_id", "n", "h1", "h2", "subsets", "prefix", "sketch", "text_hash"])
 
-    signed = stored(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, subsets array<long>, prefix array<long>, sketch binary"), "signed")
+    signed = stored(docs.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, subsets array<long>, prefix array<long>, sketch binary, text_hash long"), "signed")
+    # A class is known by its h1 (`rep`); `first` is the smallest id that has it.
     signature = ["n", "h1", "h2"]
-    classes = signed.where("n > 0 and doc_id is not null").groupBy(*signature).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("subsets", "prefix", "sketch"), "doc_id").alias("keys"))
-    classes = stored(classes.select(*signature, "rep", "keys.subsets", "keys.prefix", "keys.sketch"), "classes")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy(*signature).agg(F.min("doc_id").alias("first"), F.min_by(F.struct("subsets", "prefix", "sketch"), "doc_id").alias("keys"))
+    classes = stored(classes.select("n", F.col("h1").alias("rep"), "h2", "first", "keys.subsets", "keys.prefix", "keys.sketch"), "classes")
     edges = candidates(classes, percent)
     members = connected(edges).select(F.col("node").alias("rep"), F.col("component").alias("pool"))
-    links = compare(docs, classes.select("rep", "n").join(members, "rep"), percent, k, kind)
-    groups = connected(links).select(F.col("node").alias("rep"), "component")
-    named = classes.select(*signature, "rep").join(groups, "rep", "left").select(*signature, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", *signature).join(named, signature, "left")
+    links = compare(docs, classes.select("rep", "first", "n").join(members, "rep"), percent, k, kind)
+    groups = classes.select("n", "rep", "h2", "first").join(connected(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
+    least = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    named = groups.join(least, "component", "left").select("n", F.col("rep").alias("h1"), "h2", F.coalesce("least", "first").alias("component_id"))
+    out = signed.select("doc_id", "text_hash", *signature).join(named, signature, "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -238,12 +240,12 @@ def size_class(n, percent: int):
 
 
 def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.ndarray) -> DataFrame:
-    """Links (a, b) among the members (rep, n, pool) of each pool: a spanning forest of each block's links."""
+    """Links (a, b) among the members (rep, first, n, pool) of each pool: a spanning forest of each block's links."""
     members = stored(members.withColumn("class", size_class(F.col("n"), percent)), "members")
     pools = members.groupBy("pool").agg(F.count(F.lit(1)).alias("in_pool"))
     parts = members.groupBy("pool", "class").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("parts"))
     whole = members.join(pools, "pool").withColumn("small", F.col("in_pool") <= BLOCK)
-    small = whole.where("small").select("rep", F.concat_ws("/", "pool").alias("block"))
+    small = whole.where("small").select("rep", "first", F.concat_ws("/", "pool").alias("block"))
     own = parts.select("pool", "class", "parts")
     above = parts.select("pool", (F.col("class") - 1).alias("class"), F.col("parts").alias("above"))
     below = parts.select("pool", (F.col("class") + 1).alias("class"), F.col("parts").alias("below"))
@@ -258,25 +260,25 @@ def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.
         F.when(F.col("above").isNotNull(), F.transform(upto(F.coalesce("above", F.lit(1))), lambda j: name(c, F.col("part"), c + 1, j))).otherwise(none),
         F.when(F.col("below").isNotNull(), F.transform(upto(F.coalesce("below", F.lit(1))), lambda j: name(c - 1, j, c, F.col("part")))).otherwise(none),
     )
-    large = large.withColumn("part", part).select("rep", F.explode(blocks).alias("block"))
-    wanted = small.unionByName(large)
-
-    wanted = stored(small.unionByName(large).withColumnRenamed("rep", "doc_id"), "blocks")
+    large = large.withColumn("part", part).select("rep", "first", F.explode(blocks).alias("block"))
+    wanted = stored(small.unionByName(large).withColumnRenamed("first", "doc_id"), "blocks")
 
     def sets(batches):
         for batch in batches:
-            found, size, first = [], 0, 0
+            reps, found, size, first = batch.column(0).to_numpy(), [], 0, 0
             for i, x in enumerate(each_set(batch, 2, kind, k)):
-                found.append(x.tobytes())
-                size += len(found[-1])
+                own = len(x) and int(x.sum(dtype=np.uint64).view(np.int64)) == reps[i]  # not another text of the same id
+                found.append(x.tobytes() if own else None)
+                size += x.nbytes
                 if size > 1 << 20 or i == batch.num_rows - 1:  # in small portions
                     part = batch.slice(first, len(found))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["rep", "block", "shingles"])
+                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["rep", "block", "shingles"])
+                    yield out.filter(pa.array([x is not None for x in found], pa.bool_()))
                     found, size, first = [], 0, i + 1
 
     # A table of few ids (counted) is sent to the texts, a larger one is met by a shuffle.
     few = wanted.count() <= FEW
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "block", "text")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("rep", "block", "text")
     shipped = texts.mapInArrow(sets, "rep long, block string, shingles binary")
 
     def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

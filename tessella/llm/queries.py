@@ -33,7 +33,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("hits")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("hits", "text_hash")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), percent=90, k=3, kind=VISIBLE)
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), percent=90, k=3, kind=VISIBLE).drop("text_hash")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
