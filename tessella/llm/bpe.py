@@ -27,6 +27,8 @@ from .shared import kept, pieces, text_bytes
 #: Bytes of text whose pieces are looked up at once.
 BLOCK = 4 << 20
 
+#: Words of more letters keep no codes of their prefixes.
+LONG = 64
 #: End of the Latin letters, all of which every version of Unicode has.
 LATIN_END = "\u0250"
 #: A word's ids, each followed by a comma; its decoded bytes.
@@ -85,6 +87,9 @@ class Trie:
         for w in self.word_ids:
             if len(w) > self.longest.get(w[-2:], 0):
                 self.longest[w[-2:]] = len(w)
+        self.size = [0] * n  # letters of each token
+        for w, i in self.word_ids.items():
+            self.size[i] = len(w)
         self.follows: dict[int, bool] = {}
         self.n = n
 
@@ -100,44 +105,70 @@ class Trie:
 
     def encode(self, words: list[str]) -> dict[str, Code]:
         """Codes of distinct words, walked in sorted order: the stacks hold the states of the current word's prefixes, last tokens and,
-        as they follow from an ancestor's, codes."""
+        as they follow from an ancestor's, codes. Words of more than LONG letters keep last tokens only, and their codes are read off
+        from the end, so that memory is in proportion to a word's length."""
         out: dict[str, Code] = {}
-        ids, follows, n, longest = self.word_ids, self.follows, self.n, self.longest.get
-        comma, token = self.comma, self.bytes
+        if len(self.follows) > 1_000_000:
+            self.follows.clear()
+        comma, token, size = self.comma, self.bytes, self.size
         stack: list[int] = []
         codes: list[Code] = []
-        before = ""
-        if len(follows) > 1_000_000:
-            follows.clear()
-        for word in sorted(words):
-            most, shared = min(len(before), len(word)), 0
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
+        for word, shared in branches([w for w in words if len(w) <= LONG]):
             del stack[shared:], codes[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                start = end - longest(word[end - 2 : end] if end > 1 else word[:1], 1) - 1
-                for start in range(start + 1 if start > -1 else 0, end):
-                    t = ids.get(word[start:end])
-                    if t is None:
-                        continue
-                    if not start:
-                        codes.append((comma[t], token[t]))
-                        break
-                    key = stack[start - 1] * n + t
-                    ok = follows.get(key)
-                    if ok is None:
-                        ok = follows[key] = self.may_follow(stack[start - 1], t)
-                    if ok:
-                        text, raw = codes[start - 1]
-                        codes.append((text + comma[t], raw + token[t]))
-                        break
+            self.walk(word, shared, stack)
+            for end in range(shared, len(word)):
+                t = stack[end]
+                start = end + 1 - size[t]
+                if start:
+                    text, raw = codes[start - 1]
+                    codes.append((text + comma[t], raw + token[t]))
                 else:
-                    raise ValueError(f"no token ends {word[:end]!r}")
-                stack.append(t)
+                    codes.append((comma[t], token[t]))
             out[word] = codes[-1]
-            before = word
+        stack = []
+        for word, shared in branches([w for w in words if len(w) > LONG]):
+            del stack[shared:]
+            self.walk(word, shared, stack)
+            found, end = [], len(word)
+            while end:
+                found.append(stack[end - 1])
+                end -= size[found[-1]]
+            found.reverse()
+            out[word] = b"".join([comma[t] for t in found]), b"".join([token[t] for t in found])
         return out
 
+    def walk(self, word: str, shared: int, stack: list[int]) -> None:
+        """Appends the last tokens of the prefixes of more than `shared` letters."""
+        ids, follows, n, longest = self.word_ids, self.follows, self.n, self.longest.get
+        for end in range(shared + 1, len(word) + 1):
+            start = end - longest(word[end - 2 : end] if end > 1 else word[:1], 1)
+            for start in range(start if start > 0 else 0, end):
+                t = ids.get(word[start:end])
+                if t is None:
+                    continue
+                if not start:
+                    break
+                key = stack[start - 1] * n + t
+                ok = follows.get(key)
+                if ok is None:
+                    ok = follows[key] = self.may_follow(stack[start - 1], t)
+                if ok:
+                    break
+            else:
+                raise ValueError(f"no token ends {word[:end]!r}")
+            stack.append(t)
+
+
+def branches(words: list[str]):
+    """Words in sorted order, each with the number of letters that it shares with the one before."""
+    before = ""
+    for word in sorted(words):
+        most, shared = min(len(before), len(word)), 0
+        while shared < most and before[shared] == word[shared]:
+            shared += 1
+        yield word, shared
+        before = word
+
 
 class PieceEncoder(Table):
     """Encodes pieces of texts with a trie; remembers ids, each followed by a comma, and decoded bytes of each."""

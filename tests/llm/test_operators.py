@@ -1,8 +1,11 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -457,3 +460,92 @@ def test_equal_stretches_of_a_chain_that_links_too_much(spark):
     out = passages.repeated_passages(frame(spark, texts)).collect()
     covered = {w for r in out for w in range(r.start, r.end)}
     assert {w for i in range(4) for w in range(74 * i, 74 * i + 50)} <= covered
+
+
+def slow_detect(text):
+    """All matches of all rules without gates, and suppression by comparing with every kept one."""
+    found = [(m.start(), m.end(), r) for r in licenses.RULES for m in r.pattern.finditer(text)]
+    kept = []
+    for s, e, r in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
+        if all(e <= s2 or e2 <= s for s2, e2, _ in kept):
+            kept.append((s, e, r))
+    return sorted(kept, key=lambda x: x[:2])
+
+
+def test_license_rules_against_brute_force(spark):
+    rng = random.Random(31)
+    words = "the this work software is are licensed released under see gpl gnu general public license licence mit apache 2 0 version v bsd 3 clause cc by nc sa 4 all rights reserved public domain placed in spdx identifier permission and confidential proprietary x".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))) for _ in range(150)]
+    out = by_id(licenses.license_scan(frame(spark, texts), PHRASES))
+    for i, text in enumerate(texts):
+        raw = f" {text} ".encode()
+        want = slow_detect(raw)
+        assert licenses.detect(raw) == want
+        spans = [(raw[:s].count(b" ") - 1, raw[:e].count(b" "), r.label) for s, e, r in want]
+        assert [(d.start, d.end, d.label) for d in out[i].detections] == spans
+        assert all(text.split()[a:b] == raw[s:e].decode().split() for (a, b, _), (s, e, _) in zip(spans, want, strict=True))
+
+
+def test_license_scan_of_very_many_notices(spark):
+    text = "Licensed under the MIT License. CC BY-NC 4.0. some words\n" * 10_000
+    began = time.perf_counter()
+    r = licenses.license_scan(frame(spark, [text]), PHRASES).first()
+    assert (r.n_base, r.first_word, r.last_word, len(r.detections)) == (20_000, 1, 12 * 9_999 + 5, 20_000)
+    assert time.perf_counter() - began < 30
+
+
+def test_bpe_of_a_very_long_word(library):
+    encoder = bpe.PieceEncoder(tokenizer())
+    rng = random.Random(32)
+    for word in ("".join(rng.choice("abcdefXYZ019+/") for _ in range(1 << 20)), "a" * 100_000):
+        tracemalloc.start()
+        [(ids, raw)] = encoder.codes([word])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ids.decode() == "".join(f"{i}," for i in library.encode(word, add_special_tokens=False).ids) and raw.decode() == word
+        assert peak < 400 << 20
+
+
+def kernel(a, b):
+    """The string kernel by its definition: all subsequences of both words."""
+    def counts(w):
+        out = {}
+        for n, weight in ((3, 1.0), (4, toxicity.FOUR)):
+            for at in itertools.combinations(range(len(w)), n):
+                if at[-1] - at[0] < toxicity.SPAN:
+                    key = "".join(w[i] for i in at)
+                    out[key] = out.get(key, 0.0) + weight * toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
+        return out
+
+    x, y = counts(a), counts(b)
+    dot = lambda u, v: sum(c * v.get(k, 0.0) for k, c in u.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+def test_toxicity_kernel_and_machine_are_those_of_the_definition():
+    rng = random.Random(33)
+    letters = "abcde{"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 12))) for _ in range(30)]
+    marks = words[:8]
+    near = toxicity.Span(marks).near(words)
+    assert np.allclose(near, [[kernel(w, m) for m in marks] for w in words], atol=1e-6)
+    y = np.array([1.0 if i % 3 == 0 else -1.0 for i in range(30)])
+    codes, values, bias = toxicity.Span(marks).solve(words, y, np.ones(30))
+    model = toxicity.Model(codes, values, bias, (0.0,) * (toxicity.SIGNS + 1))
+    table = toxicity.Scorer(model).values(words)
+    # The table's values are those of the machine in the landmarks' space, whose solution has no descent left.
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(gram)
+    x = np.column_stack([near @ (vector / np.sqrt(value)), np.ones(30)])
+    w = np.linalg.lstsq(x, table, rcond=None)[0]
+    assert np.allclose(x @ w, table, atol=1e-4)
+    slack = np.maximum(0, 1 - y * table)
+    slope = w * np.array([1.0] * 8 + [1e-3]) - 2 * x.T @ (y * slack)
+    assert np.abs(slope).max() < 1e-2
+
+
+def test_toxicity_of_sentences():
+    ends = np.array([False, True, False, False, True, False])
+    assert toxicity.sentence_starts(ends, np.array([0, 3])).tolist() == [0, 2, 3, 5]
+    assert toxicity.sentence_starts(np.zeros(40, bool), np.array([0])).tolist() == [0, 16, 32]
+    assert toxicity.folded_sentences("One two. Thr33 é! x") == [["one", "two"], ["three"]]
