@@ -2,8 +2,9 @@
 
 A text is brought to its words (A-Z lower-cased, everything else between words becomes one space), so rules match across line breaks
 and punctuation. A rule is a regular expression over words with a priority, a confidence and keywords, of which every
-match of it holds one each; it runs only where they stand. Of overlapping detections the one of higher priority stays (of equal priority the longer, then the earlier), and one
-that lies inside a kept interval is suppressed. The rules are frames (how a licence is declared) times names (what it is called).
+match of it holds one each; it runs only where they stand. Of overlapping detections the one of higher priority stays (of equal priority
+the longer, then the earlier): one that lies inside a kept interval is suppressed, and so is one that shares only some words with it,
+since those words already declare the kept licence. The rules are frames (how a licence is declared) times names (what it is called).
 
 Beside them, base phrases are found at all word positions where their words stand consecutively; no rule suppresses them.
 """
@@ -11,8 +12,10 @@ Beside them, base phrases are found at all word positions where their words stan
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -149,11 +152,15 @@ def detect(text: bytes) -> list[tuple[int, int, Rule]]:
         if all(here[k] for k in rule.keywords):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
-    kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []  # of kept intervals, which don't overlap, in order
+    ends: dict[int, tuple[int, Rule]] = {}
     for s, e, rule in found:
-        if not any(s < e2 and s2 < e for s2, e2, _ in kept):
-            kept.append((s, e, rule))
-    return sorted(kept, key=lambda x: x[:2])
+        i = bisect_left(starts, s)
+        if (i and ends[starts[i - 1]][0] > s) or (i < len(starts) and starts[i] < e):
+            continue
+        starts.insert(i, s)
+        ends[s] = e, rule
+    return [(s, *ends[s]) for s in starts]
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:long,end:long,label:string,confidence:double>>"
@@ -175,15 +182,20 @@ def license_scan(docs: DataFrame, phrases: dict[str, str], id_col: str = "doc_id
             for a, b in zip(at[:-1], at[1:], strict=True):
                 words = raw[a:b].translate(TO_WORDS).split()
                 text = b" " + b" ".join(words) + b" "
-                starts, labels = [], set()
+                places, labels = [], set()
                 for phrase, label in base:
                     k = text.find(phrase)
                     while k >= 0:
-                        starts.append(text.count(b" ", 0, k))
+                        places.append(k)
                         labels.add(label)
                         k = text.find(phrase, k + 1)
                 kept = detect(text)
-                spans = [{"start": text.count(b" ", 0, s) - 1, "end": text.count(b" ", 0, e), "label": r.label, "confidence": r.confidence} for s, e, r in kept]
+                starts, spans = [], []
+                if places or kept:
+                    space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)  # word i begins after space i
+                    starts = np.searchsorted(space, places).tolist()
+                    first, last = (np.searchsorted(space, x).tolist() for x in ([s - 1 for s, *_ in kept], [e for _, e, _ in kept]))
+                    spans = [{"start": i, "end": j, "label": r.label, "confidence": r.confidence} for i, j, (*_, r) in zip(first, last, kept, strict=True)]
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {r.label for *_, r in kept})), 1.0 if labels else max((r.confidence for *_, r in kept), default=0.0), spans))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("confidence", pa.float64())]))]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
