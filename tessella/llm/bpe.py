@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .piece_table import SIGNS, Table
-from .shared import kept, pieces, text_bytes
+from .shared import kept, pieces, small_batches, text_bytes
 
 #: Bytes of text whose pieces are looked up at once.
 BLOCK = 4 << 20
@@ -252,4 +252,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     text_hex.append(hashlib.sha256(text[text_at[k] : text_at[k + 1]].decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, SCHEMA)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import new_path, pieces, text_bytes
+from .shared import new_path, pieces, small_batches, text_bytes
 from .words import ALNUM, Words
 
 #: Text bytes of a shard; a longer document is a shard of its own.
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, window: int, id_col: str = "doc_id", text_col:
 
     spark = docs.sparkSession
     path = new_path(spark, "index")
-    docs.select(id_col, text_col, F.xxhash64(F.col(text_col)).alias("text_hash")).mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    small_batches(docs).select(id_col, text_col, F.xxhash64(F.col(text_col)).alias("text_hash")).mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(SHARD).parquet(path)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected
-from .shared import pieces, stored, text_bytes
+from .shared import pieces, small_batches, stored, text_bytes
 from .words import Words, distinct, mix, shingles
 
 #: Bounds of the number of counters (powers of two); the shingles' order is by these. Beyond the upper one the order gets coarser, and
@@ -155,7 +155,7 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
     only shingle; null texts and those without words have an empty set and link with nothing, and a null id takes no part. Repeated
     rows are copies; different texts under one id are compared as documents of their own. Other columns aren't looked at.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     context = docs.sparkSession.sparkContext
     counters = counters or n_counters(docs)
     shift = np.uint64(65 - counters.bit_length())

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_bytes
+from .shared import small_batches, text_bytes
 
 #: Bytes to a word's bytes (A-Z lower-cased) or a space.
 TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -201,4 +201,4 @@ def license_scan(docs: DataFrame, phrases: dict[str, str], id_col: str = "doc_id
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, SCHEMA)

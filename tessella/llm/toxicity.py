@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import kept, stored
+from .shared import kept, small_batches, stored
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 LANDMARKS = 480
@@ -275,7 +275,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Without labelled documents of both kinds the model gives every text the share of toxic ones (0 if there are none at all)."""
-    sample = draw(docs, labels)
+    sample = draw(small_batches(docs), labels)
     kinds = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = kinds.get(1, 0), kinds.get(0, 0)
     if not n_toxic or not n_clean:
@@ -465,7 +465,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
                 p = model.probability(scorer.texts([x or "" for x in part.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def few(batch: pa.RecordBatch, rows: int = 500):
@@ -474,7 +474,7 @@ def few(batch: pa.RecordBatch, rows: int = 500):
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores below the threshold."""
-    at = docs.columns.index(text_col)
+    at = small_batches(docs).columns.index(text_col)
 
     def run(batches):
         scorer = scorer_of(model)

@@ -298,11 +298,11 @@ def test_chains_are_best():
         assert best[end] == pytest.approx(best.max())
 
 
-def test_minimizers_cover_every_window():
+def test_lowest_of_every_window():
     h = np.random.default_rng(2).integers(0, 50, 300, dtype=np.uint64)
-    at = passages.minimizers(h, 12)
-    expected = sorted({max(range(i, i + 12), key=lambda j: (-int(h[j]), j)) for i in range(len(h) - 11)})
-    assert at.tolist() == expected
+    for n in (1, 2, 12, 47, 300):
+        assert passages.lowest(h, n).tolist() == [min(h[i : i + n].tolist()) for i in range(301 - n)]
+    assert passages.lowest(h[:5], 12).tolist() == [min(h[:5].tolist())] and not len(passages.lowest(h[:0], 12))
 
 
 def test_toxicity_learns_gapped_insults(spark):
