@@ -6,9 +6,11 @@ node splits its points at the median of a projection, the difference of two of i
 entry, sampled or not, is filed in its leaf of every tree.
 
 A query walks all trees at once with one priority queue, ordered by the margin by which a branch was passed over, and opens the leaves
-that come up first until they hold OPEN_SHARE of the sample's points, over all trees. Queries go in blocks of bounded size to all parts
+that come up first. How many is measured: on the sample, some points' exact neighbours are looked up, and a query opens leaves until
+they hold as many points as were needed to have TARGET of these neighbours. So the share of the index that a query reads is small where
+vectors have structure and falls as the data grow, and is large where there is none to use. Queries go in blocks of bounded size to all parts
 of the index, where an inverted list of each leaf gives a query's candidates, and are ranked exactly by cosine in double precision.
-Nothing of the index moves, each part answers with its best few, and the best of these are the answer.
+Nothing of the index moves, each task answers with its best few, and the best of these are the answer.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import new_path, stored
 
 SAMPLE, TREES, LEAF = 100_000, 16, 64
-#: Share of the sampled points that the leaves a query opens hold together in all trees, and the least number of leaves.
-OPEN_SHARE, LEAST_LEAVES = 0.8, 24
+#: Share of the nearest that the opened leaves are to hold, measured on so many of the sampled points; the least number of leaves.
+TARGET, CALIBRATED, LEAST_LEAVES = 0.95, 128, 24
 #: Queries that are sent to all tasks at once.
 BLOCK = 2048
 
@@ -57,22 +59,51 @@ class Forest:
             out[:, t] = ~at
         return out
 
-    def open(self, q: np.ndarray, points: float, least: int) -> list[int]:
-        """Leaves in the order of the shared queue, until they hold so many points."""
+    def walk(self, q: np.ndarray):
+        """Leaves in the order of the shared queue."""
         queue = [(0.0, root) for root in self.roots]
-        found, total = [], 0
-        while queue and (total < points or len(found) < least):
+        while queue:
             missed, node = heapq.heappop(queue)
             while node >= 0:
                 margin = float(self.planes[node] @ q - self.cuts[node])
                 near, far = (self.children[node, 1], self.children[node, 0]) if margin > 0 else (self.children[node, 0], self.children[node, 1])
                 heapq.heappush(queue, (max(missed, abs(margin)), int(far)))
                 node = int(near)
-            found.append(~node)
-            total += self.sizes[~node]
+            yield ~node
+
+    def open(self, q: np.ndarray, points: float, least: int) -> list[int]:
+        """The first leaves, until they hold so many points."""
+        found, total = [], 0
+        for leaf in self.walk(q):
+            found.append(leaf)
+            total += self.sizes[leaf]
+            if total >= points and len(found) >= least:
+                break
         return found
 
 
+def calibrated(forest: Forest, x: np.ndarray, k: int, target: float = TARGET, queries: int = CALIBRATED) -> float:
+    """How many points the leaves that a query opens must hold so that this share of the k nearest of x is in them: the quantile, over
+    some rows of x as queries, of the points that were opened when each of a row's nearest came up. x are the forest's own points."""
+    if len(x) < 2:
+        return float(len(x))
+    filed = forest.file(x)
+    needed = []
+    for i in range(min(queries, len(x))):
+        near = x @ x[i]
+        near[i] = -np.inf
+        left = {int(j): set(filed[j].tolist()) for j in np.argpartition(-near, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]}
+        total = 0
+        for leaf in forest.walk(x[i]):
+            total += int(forest.sizes[leaf])
+            for j in [j for j, leaves in left.items() if leaf in leaves]:
+                needed.append(total)
+                del left[j]
+            if not left:
+                break
+    return float(np.quantile(needed, target, method="higher"))
+
+
 def grow(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> Forest:
     rng = np.random.default_rng(seed)
     children, planes, cuts, sizes, tree_of, roots = [], [], [], [], [], []
@@ -142,7 +173,7 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vect
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = unit(matrix(drawn.column("v").combine_chunks()))
     forest = grow(sample)
-    points = OPEN_SHARE * len(sample)
+    points = calibrated(forest, sample, k)
     sent = context.broadcast(forest)  # bounded by SAMPLE
 
     def file(batches):
@@ -159,11 +190,16 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vect
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(opened, pa.list_(pa.int32()))], ["id", "v", "leaves"])
 
     index = stored(entries.select("ids", "v").mapInArrow(file, "ids array<long>, v array<double>, leaves array<int>"), "index")
-    queries = rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(open_leaves, "id long, v array<double>, leaves array<int>")
+    queries = stored(rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(open_leaves, "id long, v array<double>, leaves array<int>"), "queries")
+    n_blocks = -(-queries.count() // BLOCK)
     path = new_path(spark, "found")
-    for block in blocks(queries):
-        asked = context.broadcast(block)  # at most BLOCK queries
+    for i in range(n_blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i).toArrow()  # about BLOCK queries
+        asked = context.broadcast((part.column("id").to_pylist(), matrix(part.column("v").combine_chunks()), [np.array(x, np.int32) for x in part.column("leaves").to_pylist()]))
         index.mapInArrow(lambda batches, asked=asked: search(batches, asked.value, k), FOUND).write.mode("append").parquet(path)
+        asked.unpersist()
+    if not n_blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = spark.read.schema(FOUND).parquet(path)
     # Entries of one leaf and task are already the best; the best of all tasks are the answer.
     per = found.groupBy("query_id").agg(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("all"))
@@ -171,48 +207,37 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vect
     return top.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def blocks(queries: DataFrame):
-    """Queries in blocks of BLOCK: (ids, vectors, opened leaves)."""
-    ids, vectors, leaves = [], [], []
-    for r in queries.toLocalIterator():
-        ids.append(r.id)
-        vectors.append(r.v)
-        leaves.append(np.array(r.leaves, np.int32))
-        if len(ids) == BLOCK:
-            yield ids, np.array(vectors), leaves
-            ids, vectors, leaves = [], [], []
-    yield ids, np.array(vectors), leaves
-
-
 def search(batches, block, k: int):
-    """Of each batch of entries every query's best k + 1 with their ids, among the entries in leaves that the query opened."""
+    """Every query's best k + 1 entries of a task, with their ids, among the entries in leaves that the query opened."""
     q_ids, queries, opened = block
+    best: list[list[tuple[float, int, list[int]]]] = [[] for _ in q_ids]  # (-score, first id, ids)
     for batch in batches:
-        out_q, out_id, out_score = [], [], []
-        if batch.num_rows and q_ids:
-            ids, e = batch.column(0).to_pylist(), matrix(batch.column(1))
-            first = np.array([x[0] for x in ids])
-            near = unit(e)
-            leaf = batch.column(2).flatten().to_numpy()
-            order = np.argsort(leaf, kind="stable")
-            rows, leaf = order // (len(leaf) // len(ids)), leaf[order]
-            for q_id, q, open_ in zip(q_ids, queries, opened, strict=True):
-                low, high = np.searchsorted(leaf, open_), np.searchsorted(leaf, open_, "right")
-                has = np.zeros(len(ids), bool)
-                has[rows[spans(low, high)]] = True
-                some = np.flatnonzero(has)
-                if len(some) > 4 * k:
-                    about = near[some] @ q
-                    least = np.partition(about, len(about) - k - 1)[len(about) - k - 1]
-                    some = some[about >= least - 1e-9 * np.linalg.norm(q)]  # with ties and what rounding may have moved
+        if not batch.num_rows or not q_ids:
+            continue
+        ids, e = batch.column(0).to_pylist(), matrix(batch.column(1))
+        first = np.array([x[0] for x in ids])
+        near = unit(e)
+        leaf = batch.column(2).flatten().to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        rows, leaf = order // (len(leaf) // len(ids)), leaf[order]
+        for i, (q, open_) in enumerate(zip(queries, opened, strict=True)):
+            low, high = np.searchsorted(leaf, open_), np.searchsorted(leaf, open_, "right")
+            has = np.zeros(len(ids), bool)
+            has[rows[spans(low, high)]] = True
+            some = np.flatnonzero(has)
+            if len(some) > 4 * k:
+                about = near[some] @ (q / np.linalg.norm(q / np.abs(q).max()) / np.abs(q).max())
+                least = np.partition(about, len(about) - k - 1)[len(about) - k - 1]
+                if len(best[i]) > k:
+                    least = max(least, -best[i][k][0])
+                some = some[about >= least - 1e-9]  # with ties and what rounding may have moved
+            if len(some):
                 exact = cosine(q, e[some])
-                for j in np.lexsort((first[some], -exact))[: k + 1].tolist():
-                    for x in ids[some[j]]:
-                        if x != q_id:
-                            out_q.append(q_id)
-                            out_id.append(x)
-                            out_score.append(float(exact[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.float64())], ["query_id", "vec_id", "score"])
+                top = np.lexsort((first[some], -exact))[: k + 1].tolist()
+                best[i] = sorted(best[i] + [(-float(exact[j]), int(first[some[j]]), ids[some[j]]) for j in top])[: k + 1]
+    out = [(q, x, -s) for q, own in zip(q_ids, best, strict=True) for s, _, found in own for x in found if x != q]
+    q_id, vec_id, score = zip(*out, strict=True) if out else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(q_id, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -228,9 +253,19 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """In double precision; only vectors whose squares would leave its range are scaled, by a power of two, which changes no digit."""
+    q, e = tame(q[None, :])[0], tame(e)
     return (e * q).sum(axis=1) / (np.sqrt((e * e).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
+def tame(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1)
+    wild = (most > 1e140) | (most < 1e-140)
+    if not wild.any():
+        return x
+    return np.where(wild[:, None], np.ldexp(x, -np.frexp(most)[1][:, None]), x)
+
+
 def smallest(rows: DataFrame, m: int) -> DataFrame:
     """(v, ids): distinct vectors with their m smallest ids. Ids are first reduced within salts, so no task gets all rows of a vector."""
     least = lambda ids: F.slice(F.sort_array(ids), 1, m)

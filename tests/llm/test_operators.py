@@ -549,3 +549,35 @@ def test_toxicity_of_sentences():
     assert toxicity.sentence_starts(ends, np.array([0, 3])).tolist() == [0, 2, 3, 5]
     assert toxicity.sentence_starts(np.zeros(40, bool), np.array([0])).tolist() == [0, 16, 32]
     assert toxicity.folded_sentences("One two. Thr33 é! x") == [["one", "two"], ["three"]]
+
+
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_neighbours_of_structured_vectors_read_little(n):
+    """Recall against brute force and the share of points that a query opens, at two sizes."""
+    rng = np.random.default_rng(n)
+    centers = rng.normal(size=(n // 50, 16))
+    x = neighbours.unit(centers[rng.integers(0, len(centers), n)] + 0.3 * rng.normal(size=(n, 16)))
+    forest = neighbours.grow(x)
+    points = neighbours.calibrated(forest, x, 5)
+    filed = forest.file(x)
+    hit = share = 0
+    for i in range(100, 200):
+        near = x @ x[i]
+        near[i] = -2
+        opened = forest.open(x[i], points, neighbours.LEAST_LEAVES)
+        found = np.isin(filed, opened).any(axis=1)
+        hit += found[np.argsort(-near)[:5]].sum()
+        share += found.sum() / n / 100
+    assert hit >= 0.9 * 500
+    assert share < (0.5 if n == 2000 else 0.1)
+
+
+def test_neighbours_of_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    scale = [1.0, 1e200, 1e-200, 1e-300]
+    df = spark.createDataFrame([(i, (v * scale[i % 4]).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df, 50, 5).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(out) == 30
+    assert all(abs(r.score - u[r.query_id] @ u[r.vec_id]) < 1e-12 for r in out)
