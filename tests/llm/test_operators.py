@@ -581,3 +581,89 @@ def test_neighbours_of_very_large_and_very_small_vectors(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert len(out) == 30
     assert all(abs(r.score - u[r.query_id] @ u[r.vec_id]) < 1e-12 for r in out)
+
+
+def plain_templates(pages):
+    """The tree by loops: pages are (host, shape, n, labelled, blocked)."""
+    rows = []
+    for host, shape, n, labelled, blocked in pages:
+        seg = shape.split("/")
+        if len(seg) >= urls.DEPTH:
+            seg = seg[: urls.DEPTH - 1] + ["/".join(seg[urls.DEPTH - 1 :])]
+        rows.append([host, shape, n, labelled, blocked, seg, ""])
+    for depth in range(max((len(r[5]) for r in rows), default=0)):
+        nodes = {}
+        for r in rows:
+            if len(r[5]) > depth:
+                nodes.setdefault((r[0], r[6]), []).append(r)
+        for members in nodes.values():
+            branch = {}
+            for r in members:
+                own = branch.setdefault(r[5][depth], [0, 0, 0, {}])
+                for i in range(3):
+                    own[i] += r[2 + i]
+                child = r[5][depth + 1] if len(r[5]) > depth + 1 else "/"
+                own[3][child] = own[3].get(child, 0) + r[2]
+            total = sum(x[0] for x in branch.values())
+            wild = {k for k, x in branch.items() if len(branch) > urls.MOST_CHILDREN and x[0] < urls.KEEP_SHARE * total}
+            named = [k for k in branch if k not in wild]
+
+            def same(a, b, branch=branch):
+                x, y = branch[a], branch[b]
+                bound = urls.CONFIDENCE * (x[0] ** -0.5 + y[0] ** -0.5)
+                p, q = ({c: m / z[0] for c, m in z[3].items() if m / z[0] >= urls.LEAST_SHARE} for z in (x, y))
+                if any(abs(p.get(c, 0) - q.get(c, 0)) > bound for c in p | q):
+                    return False
+                if x[1] and y[1]:
+                    apart = abs(x[2] / x[1] - y[2] / y[1])
+                    return apart < urls.MOST_APART and apart <= urls.CONFIDENCE * (x[1] ** -0.5 + y[1] ** -0.5)
+                return True
+
+            heavier = {a: [b for b in named if (-branch[b][0], b) < (-branch[a][0], a) and same(a, b)] for a in named}
+            leader = {}
+            for a in named:
+                heads = [b for b in heavier[a] if not heavier[b]]
+                if heads:
+                    leader[a] = max(heads, key=lambda b: (branch[b][0], b))
+            for r in members:
+                k = r[5][depth]
+                label = "*" if k in wild else "{" + leader[k] + ",..}" if k in leader else "{" + k + ",..}" if k in leader.values() else k
+                r[6] = label if depth == 0 else r[6] + "/" + label
+    purity = {}
+    for r in rows:
+        own = purity.setdefault((r[0], r[6]), [0, 0])
+        own[0], own[1] = own[0] + r[3], own[1] + r[4]
+    return {(r[0], r[1]): (r[6], (purity[r[0], r[6]][1] + urls.WEIGHT * urls.PRIOR) / (purity[r[0], r[6]][0] + urls.WEIGHT)) for r in rows}
+
+
+def test_url_tree_against_loops(spark):
+    rng = random.Random(41)
+    pages = []
+    for i in range(900):
+        host = rng.choice(["a.example.com", "b.example.com", "c.example.net", "d.org"])
+        kind = rng.random()
+        path = rng.choice(["en", "fr", "de", "es"])
+        if kind < 0.3:
+            path = f"u/{''.join(rng.choice('abcdefgh') for _ in range(4))}/{rng.choice(['post', 'about', 'en'])}/{rng.randrange(99)}"
+        elif kind < 0.6:
+            path += f"/{rng.choice('abc')}/{rng.randrange(999)}"
+        elif kind < 0.7:
+            path += "/" + "/".join(rng.choice("xy") for _ in range(rng.randrange(14)))
+        pages.append((i, f"http://{host}/{path}"))
+    rules = [*RULES, ("block", "a.example.com", "/u/a"), ("allow", "b.example.com", "/u/b")]
+    out = urls.url_filter(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()
+    assert len(out) == len(pages)
+    counts = {}
+    for r in out:
+        shape = re.sub("^/", "", re.sub("[0-9]+", "#", r.path))
+        own = counts.setdefault((r.host, shape), [0, 0, 0])
+        own[0] += 1
+        own[1] += r.rule is not None
+        own[2] += r.rule is not None and r.verdict == "block"
+    want = plain_templates([(*k, *v) for k, v in counts.items()])
+    for r in out:
+        template, share = want[r.host, re.sub("^/", "", re.sub("[0-9]+", "#", r.path))]
+        assert r.template == template and abs(r.blocked_share - share) < 1e-12
+        assert r.rule is not None or r.verdict == ("block" if share >= urls.REJECT else "allow")
+    users = {r.template for r in out if r.host == "b.example.com" and r.path.startswith("/u/")}
+    assert len(users) <= 3  # names are a wildcard, and what stands below them is pooled
