@@ -4,7 +4,7 @@ The index is document-partitioned: a shard holds the postings of every token of
 third of all documents has short lists in many shards rather than one long list, and neither building nor searching shuffles. Shards
 are stored as a table, a row per shard: sorted term hashes, list ends, and the lists' position gaps as variable-length bytes.
 
-A search takes phrases in blocks of bounded size, each sent to all shards. In a shard a phrase is dropped at once if one of its terms
+A search takes phrases in blocks of bounded size, one after the other, each sent to all shards. In a shard a phrase is dropped at once if one of its terms
 has no list; else the lists are intersected after subtracting each term's offset in the phrase, beginning with the shortest list (the
 shard's rarest term). What is left are the exact starts of the phrase. Proximity search keeps starts of the rarest term for which
 every other term stands within a distance.
@@ -16,6 +16,8 @@ documents aren't looked at.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -29,8 +31,10 @@ from .words import ALNUM, Words
 SHARD_BYTES = 2 << 20
 #: Phrases that are sent at once (each has at most `window` terms of 8 bytes).
 BLOCK = 100_000
+#: What stands for a null id in a shard; the digest of no items.
+NULL, NONE = np.iinfo(np.int64).min, hashlib.sha256(b"").hexdigest()
 
-SHARD = "doc_ids binary, text_hashes binary, first binary, terms binary, ends binary, gaps binary"
+SHARD = "name string, doc_ids binary, text_hashes binary, first binary, terms binary, ends binary, gaps binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -64,7 +68,7 @@ def build_index(docs: DataFrame, window: int, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            ids = np.where(np.asarray(ids.is_null()), np.iinfo(np.int64).min, np.asarray(ids.fill_null(0)))
+            ids = np.where(np.asarray(ids.is_null()), NULL, np.asarray(ids.fill_null(0)))
             text_hash = batch.column(2).to_numpy()
             data, offsets = text_bytes(batch.column(1))
             for a, b in pieces(offsets, SHARD_BYTES):
@@ -80,7 +84,7 @@ def build_index(docs: DataFrame, window: int, id_col: str = "doc_id", text_col:
                 for bits in range(7, 64, 7):
                     size += gaps >= 1 << bits
                 ends = np.append(np.cumsum(size)[np.flatnonzero(new)[1:] - 1], size.sum()) if len(h) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids[a:b].tobytes(), text_hash[a:b].tobytes(), first.astype(np.int64).tobytes(), h[new].tobytes(), ends.astype(np.int64).tobytes(), pack(gaps))], ["doc_ids", "text_hashes", "first", "terms", "ends", "gaps"])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in (ids[a:b].tobytes(), text_hash[a:b].tobytes(), first.astype(np.int64).tobytes(), h[new].tobytes(), ends.astype(np.int64).tobytes(), pack(gaps)))], ["name", "doc_ids", "text_hashes", "first", "terms", "ends", "gaps"])
 
     spark = docs.sparkSession
     path = new_path(spark, "index")
@@ -175,38 +179,73 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     A benchmark without words contaminates nothing; a null item id takes no part.
     """
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(x) for x in phrases_of(benchmark, window, item_col, item_text_col)]
+    spark = docs.sparkSession
     index = build_index(docs, window, id_col, text_col)
-    none = hashlib.sha256(b"").hexdigest()
-
-    def run(batches):
+    blocks = phrases_of(benchmark, window, item_col, item_text_col)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        sent = spark.sparkContext.broadcast(first or (np.empty(0, object), np.empty(0, np.uint64), np.empty(0, np.int64)))  # BLOCK phrases at most
+        return index.mapInArrow(lambda batches: (result(shard, hits_of(shard, sent.value)) for _, shard in shards(batches, window)), RESULT)
+    # A larger benchmark goes block by block: one at a time is on the driver and on the executors, and the hits are stored.
+    path = new_path(spark, "hits")
+    for block in itertools.chain([first, second], blocks):
+        sent = spark.sparkContext.broadcast(block)
+        index.mapInArrow(lambda batches, sent=sent: (table_of(name, hits_of(shard, sent.value)) for name, shard in shards(batches, window)), HITS).write.mode("append").parquet(path)
+        sent.unpersist()
+    hits = spark.read.schema(HITS).parquet(path).groupBy("name").agg(F.collect_list(F.struct("doc", "start", "size", "item")).alias("found"))  # of one shard's documents
+    met = index.join(hits, "name", "left").select(*[x.split()[0] for x in SHARD.split(", ")], "found")
+
+    def collected(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                shard = Shard(*[batch.column(j)[k].as_buffer() for j in range(6)], window)
-                stretches: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                items: dict[int, set[str]] = defaultdict(set)
-                for block in blocks:
-                    ids, terms, sizes = block.value
-                    at = shard.find(terms)
-                    first = np.cumsum(sizes) - sizes
-                    for i in np.flatnonzero(np.minimum.reduceat(at, first) >= 0).tolist() if len(first) else []:
-                        starts = shard.exact(at[first[i] : first[i] + sizes[i]])
-                        for d, s in zip(shard.document(starts).tolist(), starts.tolist(), strict=True):
-                            s -= int(shard.base[d])
-                            stretches[d].append((s, s + int(sizes[i])))
-                            items[d].add(ids[i])
-                n = np.diff(shard.first).tolist()
-                hits = [merged(stretches.get(d, [])) for d in range(len(n))]
-                n_hit = [sum(e - s for s, e in x) for x in hits]
-                digest = [hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest() if d in items else none for d in range(len(n))]
-                null = np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == null), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(d, ())) for d in range(len(n))], pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit]), pa.array([[{"start": s, "end": e} for s, e in x] for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(shard.text_hashes)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "text_hash"],
-                )
-
-    return index.mapInArrow(run, RESULT)
+            for (_, shard), found in zip(shards([batch], window), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                yield result(shard, [(x["doc"], x["start"], x["size"], x["item"]) for x in found or ()])
+
+    return met.mapInArrow(collected, RESULT)
+
+
+HITS = "name string, doc long, start long, size long, item string"
+Hit = tuple[int, int, int, str]  # document of the shard, first word, words, item
+
+
+def shards(batches, window: int):
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column(0)[k].as_py(), Shard(*[batch.column(j)[k].as_buffer() for j in range(1, 7)], window)
+
+
+def hits_of(shard: Shard, block: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[Hit]:
+    """All occurrences of a block's phrases in a shard."""
+    ids, terms, sizes = block
+    if not len(sizes):
+        return []
+    at = shard.find(terms)
+    first = np.cumsum(sizes) - sizes
+    found = []
+    for i in np.flatnonzero(np.minimum.reduceat(at, first) >= 0).tolist():
+        starts = shard.exact(at[first[i] : first[i] + sizes[i]])
+        found += [(d, s - int(shard.base[d]), int(sizes[i]), ids[i]) for d, s in zip(shard.document(starts).tolist(), starts.tolist(), strict=True)]
+    return found
+
+
+def table_of(name: str, found: list[Hit]) -> pa.RecordBatch:
+    doc, start, size, item = zip(*found, strict=True) if found else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(doc), pa.string()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(item, pa.string())], ["name", "doc", "start", "size", "item"])
+
+
+def result(shard: Shard, found: list[Hit]) -> pa.RecordBatch:
+    stretches: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    items: dict[int, set[str]] = defaultdict(set)
+    for d, start, size, item in found:
+        stretches[d].append((start, start + size))
+        items[d].add(item)
+    n = np.diff(shard.first).tolist()
+    hits = [merged(stretches.get(d, [])) for d in range(len(n))]
+    n_hit = [sum(e - s for s, e in x) for x in hits]
+    digest = [hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest() if d in items else NONE for d in range(len(n))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NULL), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(d, ())) for d in range(len(n))], pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit]), pa.array([[{"start": s, "end": e} for s, e in x] for x in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(shard.text_hashes)],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "text_hash"],
+    )
 
 
 def proximity(index: DataFrame, phrases: list[str], distance: int, window: int) -> DataFrame:
@@ -219,8 +258,7 @@ def proximity(index: DataFrame, phrases: list[str], distance: int, window: int)
     def run(batches):
         for batch in batches:
             out = []
-            for k in range(batch.num_rows):
-                shard = Shard(*[batch.column(j)[k].as_buffer() for j in range(6)], window)
+            for _, shard in shards([batch], window):
                 for phrase, terms in zip(phrases, queries, strict=True):
                     at = shard.find(terms)
                     if not len(at) or at.min() < 0:
