@@ -10,11 +10,13 @@ A folder holds, for each partition p of the documents in ascending id order,
 The start of a partition in the corpus is the sum of the sizes of those before it, so offsets are global although all partitions are
 written at the same time: first the .bin files, then, when the sizes are known, the .idx files.
 
-A task writes to a name of its own and renames at the end, so that a task that is repeated or runs twice leaves whole files.
+A task writes to a name of its own and renames at the end, so that a task that is repeated or runs twice leaves whole files. The last
+thing written is manifest.json, which lists the parts; then nothing else is left in the folder.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -32,6 +34,8 @@ from .shared import kept, new_path, pieces, text_bytes
 BLOCK, JOINT = 2 << 20, 20_000
 #: Bytes of text a partition should have.
 PARTITION_BYTES = 16 << 20
+#: Lists the parts of a folder: (partition, place of its first id in the corpus, documents). What stands for a null document id.
+MANIFEST, NULL = "manifest.json", np.iinfo(np.int64).min
 
 
 def opened(url: str) -> tuple[pafs.FileSystem, str]:
@@ -40,6 +44,14 @@ def opened(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url)
 
 
+def put(fs: pafs.FileSystem, mine: str, to: str) -> None:
+    """Gives a whole file its name; where an earlier attempt of the task did so already, its file (of the same content) stays."""
+    if fs.get_file_info(to).type == pafs.FileType.File and fs.get_file_info(to).size == fs.get_file_info(mine).size:
+        fs.delete_file(mine)
+    else:
+        fs.move(mine, to)
+
+
 def tokenizer_of(path: str):
     from tokenizers import Tokenizer
 
@@ -49,6 +61,10 @@ def tokenizer_of(path: str):
     return found
 
 
+def dtype_of(tokenizer: str) -> str:
+    return "<u2" if tokenizer_of(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 class Coder(Table):
     """Raw ids of texts by the tokenizers library."""
 
@@ -103,8 +119,8 @@ def coder(path: str) -> Coder:
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> list[tuple[int, int, int]]:
     """Writes the files; returns (partition, first id's place in the corpus, documents), one row per partition with documents.
 
-    Null texts are empty: a document of the end id alone. Rows with a null document id have no place in the order and are an error.
-    Equal ids keep next to each other in no set order. An empty table writes nothing.
+    Null texts are empty: a document of the end id alone. Rows with a null document id come first. Rows of one id stand in the order of
+    their texts (a null one first). An empty table writes only an empty manifest.
     """
 
     def encode(batches):
@@ -117,9 +133,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
         ids, sizes, out, mine = [], [], None, f"{base}/{k}.bin.{uuid.uuid4().hex}"
         try:
             for batch in batches:
-                if batch.column(0).null_count:
-                    raise ValueError("a document has no id")
-                ids.append(batch.column(0).to_numpy().astype("<i8"))
+                ids.append(batch.column(0).fill_null(NULL).to_numpy().astype("<i8"))
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(mine)
@@ -133,18 +147,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
                 out.close()
         if out is None:
             return
-        fs.move(mine, f"{base}/{k}.bin")
+        put(fs, mine, f"{base}/{k}.bin")
         sizes = np.concatenate(sizes)
         with fs.open_output_stream(f"{mine}.idx") as f:  # local offsets, until the sizes of all partitions are known
             f.write(np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes())
             f.write(np.concatenate(ids).tobytes())
-        fs.move(f"{mine}.idx", f"{base}/{k}.local")
+        put(fs, f"{mine}.idx", f"{base}/{k}.local")
         yield pa.RecordBatch.from_pylist([{"k": k, "n": len(sizes), "size": int(sizes.sum())}])
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = partitions or partitions_for(spark, docs)
-    sizes = rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(encode, "k long, n long, size long").collect()
+    sizes = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(encode, "k long, n long, size long").collect()
     base, bases = 0, []
     for r in sorted(sizes, key=lambda r: r.k):  # one row per partition
         bases.append((r.k, base, r.n))
@@ -161,11 +175,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
                 with fs.open_output_stream(mine) as f:
                     f.write((np.frombuffer(data, "<u8", n + 1) + np.uint64(start)).tobytes())
                     f.write(data[8 * (n + 1) :])
-                fs.move(mine, f"{at}/{k}.idx")
+                put(fs, mine, f"{at}/{k}.idx")
             yield batch.slice(0, 0)
 
     if bases:
         manifest(spark, bases).mapInArrow(place, "k long, base long, n long").count()
+    fs, at = opened(folder)
+    fs.create_dir(at, recursive=True)
+    for info in fs.get_file_info(pafs.FileSelector(at)):  # what only served the writing, and what attempts that failed left
+        if info.type == pafs.FileType.File and not re.fullmatch(r"[0-9]+\.(bin|idx)", info.base_name):
+            fs.delete_file(info.path)
+    with fs.open_output_stream(f"{at}/{MANIFEST}") as f:
+        f.write(json.dumps({"dtype": dtype_of(tokenizer), "end_id": end_id, "parts": bases}).encode())
     return bases
 
 
@@ -180,16 +201,21 @@ def manifest(spark: SparkSession, bases: list[tuple[int, int, int]]) -> DataFram
     return spark.createDataFrame(spark.sparkContext.parallelize(bases, len(bases)), "k long, base long, n long")
 
 
-def read_files(spark: SparkSession, folder: str, tokenizer: str, bases: list[tuple[int, int, int]]) -> DataFrame:
-    """From the files: doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32 (of the ids as unsigned
-    32-bit integers). Local files are memory-mapped."""
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """From the files that the folder's manifest lists: doc_id, start (ids of all documents before it), n_tokens (with the end id),
+    ids_crc32 (of the ids as unsigned 32-bit integers). Local files are memory-mapped. A folder whose writing didn't end has no
+    manifest and is an error."""
 
+    fs, at = opened(folder)
+    with fs.open_input_stream(f"{at}/{MANIFEST}") as f:
+        listed = json.loads(f.read())
+    bases, kind = [tuple(x) for x in listed["parts"]], listed["dtype"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not bases:
         return spark.createDataFrame([], schema)
 
     def read(batches):
-        dtype = coder(tokenizer).dtype
+        dtype = np.dtype(kind)
         fs, at = opened(folder)
         for batch in batches:
             for k in batch.column(0).to_pylist():
@@ -206,7 +232,7 @@ def read_files(spark: SparkSession, folder: str, tokenizer: str, bases: list[tup
                     get = lambda a, b, f=f: np.frombuffer(f.read_at((b - a) * dtype.itemsize, a * dtype.itemsize), dtype)
                 local = offsets - offsets[0]
                 crc = [zlib.crc32(get(a, b).astype("<u4")) for a, b in zip(local[:-1].tolist(), local[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL), pa.array(offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest(spark, bases).mapInArrow(read, schema)
 
@@ -214,4 +240,5 @@ def read_files(spark: SparkSession, folder: str, tokenizer: str, bases: list[tup
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Writes the corpus to `folder` (a new one in the shared folder unless given) and returns what the files hold."""
     folder = folder or new_path(docs.sparkSession, "tokens")
-    return read_files(docs.sparkSession, folder, tokenizer, write_files(docs, folder, tokenizer, end_id))
+    write_files(docs, folder, tokenizer, end_id)
+    return read_files(docs.sparkSession, folder)

@@ -116,8 +116,21 @@ def test_token_files(spark, library, tmp_path):
         start += len(own)
     assert sum(p.stat().st_size for p in (tmp_path / "corpus").glob("*.bin")) == 2 * start
     assert token_files.token_files(frame(spark, []), tokenizer()).count() == 0
-    with pytest.raises(Exception, match="no id"):
-        token_files.token_files(frame(spark, ["a"], [None]), tokenizer())
+    assert sorted(p.name.partition(".")[2] for p in (tmp_path / "corpus").iterdir()).count("json") == 1
+    assert not [p.name for p in (tmp_path / "corpus").iterdir() if not re.fullmatch(r"[0-9]+\.(bin|idx)|manifest.json", p.name)]
+    assert len(token_files.read_files(spark, folder).collect()) == len(texts)
+
+
+def test_token_files_of_ties_and_null_ids(spark, library):
+    ids, texts = [5, None, 5, 4, 5, None, 5], ["b c", "x", "a", "z", None, None, "a"]
+    for seed in (1, 2):
+        got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.token_files(frame(spark, texts, ids).repartition(seed), tokenizer()).collect()))
+        want, start = [], 0
+        for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+            own = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+            want.append((start, i, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+            start += len(own)
+        assert got == want
 
 
 def test_license_scan(spark):
