@@ -13,8 +13,8 @@ Sets that meet in a short list are pairs if their sketches allow it (counts of s
 overlap can be, so no link is lost). A long list is linked along its length (each set to the first it may match in size, else to the one
 before), never in all pairs. The connected candidates are then compared exactly: their sets are brought together once, in blocks of bounded size; in a block every
 shingle has an inverted list, scanning the lists of a set's shingles counts its overlap with all others, and pairs at the threshold are
-links. A large candidate group is cut by size class and hash into blocks, and only pairs of blocks that can match in size are compared.
-Within a block only a spanning forest of the links is returned, which leaves the groups as they are.
+links. A large candidate group is cut by size class and hash into parts, and pairs of parts are compared only as far as components are
+still to be joined. Within a block only a spanning forest of the links is returned, which leaves the groups as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected
 from .shared import pieces, small_batches, stored, text_bytes
@@ -240,28 +240,69 @@ def size_class(n, percent: int):
 
 
 def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.ndarray) -> DataFrame:
-    """Links (a, b) among the members (rep, first, n, pool) of each pool: a spanning forest of each block's links."""
+    """Links (a, b) among the members (rep, first, n, pool) of each pool that connect what the pool's links connect.
+
+    A pool of BLOCK sets is one block. A larger one is cut by size class and hash into parts, which are compared within themselves first;
+    then one set of each component that this gives, with the others of its size class and the next; and of a pool that isn't one
+    component by now, all pairs of parts that can match in size, without those within its largest component. So a group of very many near copies costs about one comparison
+    a set, and no pair that could join two components goes unseen.
+    """
     members = stored(members.withColumn("class", size_class(F.col("n"), percent)), "members")
     pools = members.groupBy("pool").agg(F.count(F.lit(1)).alias("in_pool"))
-    parts = members.groupBy("pool", "class").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("parts"))
-    whole = members.join(pools, "pool").withColumn("small", F.col("in_pool") <= BLOCK)
-    small = whole.where("small").select("rep", "first", F.concat_ws("/", "pool").alias("block"))
-    own = parts.select("pool", "class", "parts")
-    above = parts.select("pool", (F.col("class") - 1).alias("class"), F.col("parts").alias("above"))
-    below = parts.select("pool", (F.col("class") + 1).alias("class"), F.col("parts").alias("below"))
-    large = whole.where("not small").join(own, ["pool", "class"]).join(above, ["pool", "class"], "left").join(below, ["pool", "class"], "left")
+    whole = members.join(pools, "pool")
+    small = whole.where(F.col("in_pool") <= BLOCK).select("rep", "first", F.concat_ws("/", "pool").alias("block"))
+    large = stored(whole.where(F.col("in_pool") > BLOCK).drop("in_pool").withColumn("side", F.lit(0)), "large")
+    own = parted(large).select("rep", "first", F.concat_ws("/", "pool", "place").alias("block"))
+    links = stored(scanned(docs, small.unionByName(own), percent, k, kind), "links")
+    if large.isEmpty():
+        return links
+    for step in ("representatives", "rest"):
+        found = connected(links).select(F.col("node").alias("rep"), "component")
+        named = large.drop("side").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        sizes = named.groupBy("pool", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "rep")).alias("least"))
+        several = sizes.groupBy("pool").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("largest")).where("components > 1")
+        named = named.join(several.select("pool", F.col("largest.component").alias("largest")), "pool")
+        if step == "representatives":
+            named = named.join(sizes.select("pool", "component", F.col("least.rep").alias("rep")), ["pool", "component", "rep"], "left_semi").withColumn("side", F.lit(0))
+        else:
+            named = named.withColumn("side", (F.col("component") == F.col("largest")).cast("int"))
+        wanted = pairs_of_parts(stored(named.select("rep", "first", "n", "pool", "class", "side"), step))
+        links = links.unionByName(stored(scanned(docs, wanted, percent, k, kind), "links"))
+    return links
+
+
+def parted(members: DataFrame) -> DataFrame:
+    """The members with `place`, their part of pool, size class and side (about BLOCK / 2 sets each)."""
+    key = ["pool", "class", "side"]
+    parts = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    name = lambda c, i, d, j: F.concat_ws("/", "pool", c, i, d, j)
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    none = F.array().cast("array<string>")
-    c = F.col("class")
-    blocks = F.concat(
-        F.transform(upto(F.col("parts")), lambda j: name(c, F.least(j, "part"), c, F.greatest(j, "part"))),
-        F.when(F.col("above").isNotNull(), F.transform(upto(F.coalesce("above", F.lit(1))), lambda j: name(c, F.col("part"), c + 1, j))).otherwise(none),
-        F.when(F.col("below").isNotNull(), F.transform(upto(F.coalesce("below", F.lit(1))), lambda j: name(c - 1, j, c, F.col("part")))).otherwise(none),
-    )
-    large = large.withColumn("part", part).select("rep", "first", F.explode(blocks).alias("block"))
-    wanted = stored(small.unionByName(large).withColumnRenamed("first", "doc_id"), "blocks")
+    return members.join(parts, key).withColumn("place", F.concat_ws(":", "class", "side", part))
+
+
+def pairs_of_parts(members: DataFrame) -> DataFrame:
+    """(rep, first, block): a block for each two parts of a pool whose size classes are the same or neighbours and that aren't both of
+    side 1; a member goes to all blocks of its part."""
+
+    def names(there: Column, other: Column) -> Column:
+        both = lambda j: (F.col("place"), F.concat_ws(":", other, j))
+        return F.transform(there, lambda j: F.concat_ws("/", "pool", F.least(*both(j)), F.greatest(*both(j))))
+
+    placed = parted(members)
+    counts = placed.groupBy("pool", "class", "side").agg(F.max("parts").alias("parts"))
+    known = counts.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "class", "side").alias("key"), "parts"))).alias("known"))  # an entry per size class
+    blocks = []
+    for step in (-1, 0, 1):
+        for side in (0, 1):
+            other = F.concat_ws(":", F.col("class") + step, F.lit(side))
+            n = F.when((F.col("side") == 0) | F.lit(side == 0), F.coalesce(F.try_element_at("known", other), F.lit(0))).otherwise(0)
+            there = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+            blocks.append(names(there, other))
+    return placed.join(known, "pool").select("rep", "first", F.explode(F.concat(*blocks)).alias("block"))
+
+
+def scanned(docs: DataFrame, wanted: DataFrame, percent: int, k: int, kind: np.ndarray) -> DataFrame:
+    """Links (a, b) within blocks (rep, first, block): a spanning forest of each block's links."""
+    wanted = stored(wanted.withColumnRenamed("first", "doc_id"), "blocks")
 
     def sets(batches):
         for batch in batches:

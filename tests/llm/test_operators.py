@@ -680,3 +680,26 @@ def test_url_tree_against_loops(spark):
         assert r.rule is not None or r.verdict == ("block" if share >= urls.REJECT else "allow")
     users = {r.template for r in out if r.host == "b.example.com" and r.path.startswith("/u/")}
     assert len(users) <= 3  # names are a wildcard, and what stands below them is pooled
+
+
+def test_large_pools_are_compared_as_far_as_needed(spark, monkeypatch):
+    """Many near copies in few comparisons, and links between components that no representative shows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    shipped = []
+    real = jaccard_join.scanned
+    monkeypatch.setattr(jaccard_join, "scanned", lambda docs, wanted, *more: (shipped.append(wanted.count()), real(docs, wanted, *more))[1])
+    rng = random.Random(51)
+    base = prose(rng, 200, 10**6).split()
+    copies = [" ".join(w if i != k else "other" for i, w in enumerate(base)) for k in rng.sample(range(200), 150)]
+    out = jaccard_join.jaccard_groups(frame(spark, copies), 90, 3, words.VISIBLE, counters=1 << 16).collect()
+    assert {r.component_id for r in out} == {0}
+    assert sum(shipped) <= 4 * len(copies)  # all pairs of blocks would be 38 copies of each
+    chain, texts = list(base), []
+    for k in range(40):  # each links with the next ones only
+        texts.append(" ".join(chain))
+        for _ in range(3):
+            chain[rng.randrange(200)] = f"n{rng.random()}"
+    texts += copies[:40]
+    expected = brute_groups(texts, 90, 3)
+    got = by_id(jaccard_join.jaccard_groups(frame(spark, texts), 90, 3, words.VISIBLE, counters=1 << 16))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == expected
