@@ -14,7 +14,7 @@ overlap can be, so no link is lost). A long list is linked along its length (eac
 before), never in all pairs. The connected candidates are then compared exactly: their sets are brought together once, in blocks of bounded size; in a block every
 shingle has an inverted list, scanning the lists of a set's shingles counts its overlap with all others, and pairs at the threshold are
 links. A large candidate group is cut by size class and hash into parts, and pairs of parts are compared only as far as components are
-still to be joined. Within a block only a spanning forest of the links is returned, which leaves the groups as they are.
+still to be joined. Of a block only its components are returned, so small groups need no further rounds.
 """
 
 from __future__ import annotations
@@ -188,8 +188,8 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
     classes = stored(classes.select("n", F.col("h1").alias("rep"), "h2", "first", "keys.subsets", "keys.prefix", "keys.sketch"), "classes")
     edges = candidates(classes, percent)
     members = connected(edges).select(F.col("node").alias("rep"), F.col("component").alias("pool"))
-    links = compare(docs, classes.select("rep", "first", "n").join(members, "rep"), percent, k, kind)
-    groups = classes.select("n", "rep", "h2", "first").join(connected(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
+    found = compare(docs, classes.select("rep", "first", "n").join(members, "rep"), percent, k, kind)
+    groups = classes.select("n", "rep", "h2", "first").join(found, "rep", "left")
     least = groups.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     named = groups.join(least, "component", "left").select("n", F.col("rep").alias("h1"), "h2", F.coalesce("least", "first").alias("component_id"))
     out = signed.select("doc_id", "text_hash", *signature).join(named, signature, "left")
@@ -240,12 +240,12 @@ def size_class(n, percent: int):
 
 
 def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.ndarray) -> DataFrame:
-    """Links (a, b) among the members (rep, first, n, pool) of each pool that connect what the pool's links connect.
+    """(rep, component) of the members (rep, first, n, pool), by the links within each pool.
 
-    A pool of BLOCK sets is one block. A larger one is cut by size class and hash into parts, which are compared within themselves first;
-    then one set of each component that this gives, with the others of its size class and the next; and of a pool that isn't one
-    component by now, all pairs of parts that can match in size, without those within its largest component. So a group of very many near copies costs about one comparison
-    a set, and no pair that could join two components goes unseen.
+    A pool of BLOCK sets is one block, whose components are known in its task. A larger one is cut by size class and hash into parts. Each
+    is compared within itself first; then one set of each component that this gives, with the others of its size class and the next; and
+    of a pool that isn't one component by now, all pairs of parts that can match in size, without those within its largest component. So
+    a group of very many near copies costs about one comparison a set, and no pair that could join two components goes unseen.
     """
     members = stored(members.withColumn("class", size_class(F.col("n"), percent)), "members")
     pools = members.groupBy("pool").agg(F.count(F.lit(1)).alias("in_pool"))
@@ -253,22 +253,28 @@ def compare(docs: DataFrame, members: DataFrame, percent: int, k: int, kind: np.
     small = whole.where(F.col("in_pool") <= BLOCK).select("rep", "first", F.concat_ws("/", "pool").alias("block"))
     large = stored(whole.where(F.col("in_pool") > BLOCK).drop("in_pool").withColumn("side", F.lit(0)), "large")
     own = parted(large).select("rep", "first", F.concat_ws("/", "pool", "place").alias("block"))
-    links = stored(scanned(docs, small.unionByName(own), percent, k, kind), "links")
+    groups = stored(scanned(docs, small.unionByName(own), percent, k, kind), "groups")
     if large.isEmpty():
-        return links
-    for step in ("representatives", "rest"):
-        found = connected(links).select(F.col("node").alias("rep"), "component")
-        named = large.drop("side").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        sizes = named.groupBy("pool", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "rep")).alias("least"))
-        several = sizes.groupBy("pool").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("largest")).where("components > 1")
-        named = named.join(several.select("pool", F.col("largest.component").alias("largest")), "pool")
-        if step == "representatives":
-            named = named.join(sizes.select("pool", "component", F.col("least.rep").alias("rep")), ["pool", "component", "rep"], "left_semi").withColumn("side", F.lit(0))
-        else:
-            named = named.withColumn("side", (F.col("component") == F.col("largest")).cast("int"))
-        wanted = pairs_of_parts(stored(named.select("rep", "first", "n", "pool", "class", "side"), step))
-        links = links.unionByName(stored(scanned(docs, wanted, percent, k, kind), "links"))
-    return links
+        return groups
+    roots = large.join(groups.where("rep = component").select("rep"), "rep", "left_semi")
+    links = stored(scanned(docs, pairs_of_parts(roots), percent, k, kind).where("rep != component"), "links")
+    groups = renamed(groups, connected(links, "rep", "component"))
+    sizes = large.join(groups, "rep").groupBy("pool", "component").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("pool").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("size", "component")).alias("largest")).where("components > 1")
+    rest = large.drop("side").join(groups, "rep").join(several.select("pool", F.col("largest.component").alias("largest")), "pool")
+    rest = stored(rest.withColumn("side", (F.col("component") == F.col("largest")).cast("int")).select("rep", "first", "n", "pool", "class", "side"), "rest")
+    if rest.isEmpty():
+        return groups
+    links = scanned(docs, pairs_of_parts(rest), percent, k, kind).where("rep != component").withColumnRenamed("component", "other")
+    named = groups.select(F.col("rep").alias("other"), F.col("component").alias("to"))
+    links = stored(links.join(groups, "rep").join(named, "other").where("component != to").select("component", "to").distinct(), "links")
+    return groups if links.isEmpty() else renamed(groups, connected(links, "component", "to"))
+
+
+def renamed(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(rep, component) with the components' new names (node, component), stored."""
+    new = found.select(F.col("node").alias("component"), F.col("component").alias("name"))
+    return stored(groups.join(new, "component", "left").select("rep", F.coalesce("name", "component").alias("component")), "groups")
 
 
 def parted(members: DataFrame) -> DataFrame:
@@ -301,7 +307,7 @@ def pairs_of_parts(members: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, wanted: DataFrame, percent: int, k: int, kind: np.ndarray) -> DataFrame:
-    """Links (a, b) within blocks (rep, first, block): a spanning forest of each block's links."""
+    """(rep, component) of the sets of each block (rep, first, block) by the links within it; a component's name is one of its sets."""
     wanted = stored(wanted.withColumnRenamed("first", "doc_id"), "blocks")
 
     def sets(batches):
@@ -326,15 +332,16 @@ def scanned(docs: DataFrame, wanted: DataFrame, percent: int, k: int, kind: np.n
         own: dict[int, np.ndarray] = {}  # a repeated id comes once
         for batch in batches:
             own |= {r: np.frombuffer(x.as_buffer(), np.uint64) for r, x in zip(batch.column("rep").to_pylist(), batch.column("shingles"), strict=True)}
-        found = forest(list(own), list(own.values()), percent)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        reps = list(own)
+        root = forest(list(own.values()), percent)
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([reps[i] for i in root], pa.int64())], ["rep", "component"])
 
-    return shipped.groupBy("block").applyInArrow(scan, "a long, b long")
+    return shipped.groupBy("block").applyInArrow(scan, "rep long, component long")
 
 
-def forest(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets, by inverted lists of all their shingles."""
-    n = len(reps)
+def forest(sets: list[np.ndarray], percent: int) -> list[int]:
+    """Of each set the first one that links among these sets lead to, by inverted lists of all their shingles."""
+    n = len(sets)
     size = np.array([len(s) for s in sets])
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), size)
@@ -351,7 +358,6 @@ def forest(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[
             x = root[x]
         return x
 
-    found = []
     for i in range(n):
         mine = local[first[i] : first[i + 1]]
         s, length = starts[mine], ends[mine] - starts[mine]
@@ -361,5 +367,4 @@ def forest(reps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[
             a, b = top(i), top(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                found.append((reps[i], reps[j]))
-    return found
+    return [top(i) for i in range(n)]
