@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import new_path, pieces, small_batches, text_bytes
+from .shared import forget, new_path, pieces, small_batches, text_bytes
 from .words import ALNUM, Words
 
 #: Text bytes of a shard; a longer document is a shard of its own.
@@ -66,6 +66,7 @@ def build_index(docs: DataFrame, window: int, id_col: str = "doc_id", text_col:
     """The shards. Positions of different documents are at least `window` apart, so that no phrase match spans two."""
 
     def run(batches):
+        forget()
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             ids = np.where(np.asarray(ids.is_null()), NULL, np.asarray(ids.fill_null(0)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected
-from .shared import pieces, small_batches, stored, text_bytes
+from .shared import forget, pieces, small_batches, stored, text_bytes
 from .words import Words, distinct, mix, shingles
 
 #: Bounds of the number of counters (powers of two); the shingles' order is by these. Beyond the upper one the order gets coarser, and
@@ -111,6 +111,7 @@ def statistics(docs: DataFrame, kind: np.ndarray, k: int, counters: int) -> tupl
     shift = np.uint64(65 - counters.bit_length())
 
     def run(batches):
+        forget()
         count, sizes, pending, n = np.zeros(counters, np.uint16), np.zeros(spread, np.int64), [], 0
         for batch in batches:
             for h in each_set(batch, 0, kind, k):
@@ -164,6 +165,7 @@ def jaccard_groups(docs: DataFrame, percent: int, k: int, kind: np.ndarray, id_c
     rank = context.broadcast(counts)  # a byte per counter
 
     def sign(batches):
+        forget()
         count = rank.value
         for batch in batches:
             n, h1, h2, subsets, prefix, sketch = [], [], [], [], [], []

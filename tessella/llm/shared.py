@@ -27,6 +27,11 @@ def kept(key: Hashable, make: Callable[[], Kept]) -> Kept:
     return _kept[key]
 
 
+def forget() -> None:
+    """What an operator that keeps nothing calls in a worker, so that an earlier one's memory goes."""
+    kept("nothing", lambda: None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -48,7 +48,7 @@ CODES = 32**3 + 32**4
 #: Letters of a word that are compared at once; longer words are read in windows of so many letters, half overlapping.
 WINDOW = 24
 #: Words whose value a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: Digits and signs that stand for letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -468,7 +468,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     return small_batches(docs).select(id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def few(batch: pa.RecordBatch, rows: int = 500):
+def few(batch: pa.RecordBatch, rows: int = 250):
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
