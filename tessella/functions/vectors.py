@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Vectors shorter than this are divided by it instead of their length when they are normalised.
 EPS = 1e-12
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row: what a lambda body doesn't get from its arguments is computed again for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -21,8 +28,7 @@ def sq_norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    length = F.greatest(F.sqrt(sq_norm(v)), F.lit(EPS))
-    return F.transform(v, lambda x: x / length)
+    return let(F.greatest(F.sqrt(sq_norm(v)), F.lit(EPS)), lambda length: F.transform(v, lambda x: x / length))
 
 
 def sq_dist(x: Column, x_sq: Column, c: Column, c_sq: Column) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.functions.vectors import dot, sq_dist, sq_norm
+from tessella.functions.vectors import dot, let, sq_dist, sq_norm
 
 from .centroids import Centers, from_frame, packed, to_frame
 
@@ -51,8 +51,8 @@ def score(metric: str, x: Column, x_sq: Column, c: Column) -> Column:
 
 def nearest(x: Column, cs: Column, metric: str) -> Column:
     """STRUCT<distance, cluster_id> of the nearest of an array of centroids."""
-    x_sq = sq_norm(x)
-    return F.array_min(F.transform(cs, lambda c: F.struct(score(metric, x, x_sq, c).alias("distance"), c["cluster_id"].alias("cluster_id"))))
+    scored = lambda x_sq: F.array_min(F.transform(cs, lambda c: F.struct(score(metric, x, x_sq, c).alias("distance"), c["cluster_id"].alias("cluster_id"))))
+    return let(sq_norm(x), scored) if metric == "euclidean" else scored(F.lit(0.0))
 
 
 def _sql(points: DataFrame, centers: DataFrame, metric: str) -> DataFrame:
