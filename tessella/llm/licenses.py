@@ -1,10 +1,11 @@
 """Licence scan: ordered signature rules over a text's words.
 
 A text is brought to its words (A-Z lower-cased, everything else between words becomes one space), so rules match across line breaks
-and punctuation. A rule is a regular expression over words with a priority, a confidence and keywords, of which every
-match of it holds one each; it runs only where they stand. Of overlapping detections the one of higher priority stays (of equal priority
-the longer, then the earlier): one that lies inside a kept interval is suppressed, and so is one that shares only some words with it,
-since those words already declare the kept licence. The rules are frames (how a licence is declared) times names (what it is called).
+and punctuation. A rule is a regular expression over words with a priority, a confidence and keywords, of which every match of it holds
+one each; it runs only where they stand. Detections are looked at by priority (of equal priority the longer first, then the earlier): one
+whose interval lies inside a kept one's is suppressed. One that only shares some words with kept ones stays, since they don't explain all
+its words; so does one that contains a kept one of higher priority. The rules are terms (the wording of notices, headers and clauses),
+and frames (how a licence is declared) times names (what it is called).
 
 Beside them, base phrases are found at all word positions where their words stand consecutively; no rule suppresses them.
 """
@@ -12,7 +13,7 @@ Beside them, base phrases are found at all word positions where their words stan
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,6 +107,80 @@ TERMS = [
     ("unlicense", 95, 0.97, "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("zlib", 95, 0.95, "as is", r"this software is provided as is without any express or implied warranty in no event"),
     ("public-domain", 85, 0.85, "public domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain"),
+    ("public-domain", 85, 0.85, "copyright", r"(?:no copyright is claimed|the authors? disclaims? copyright to this source code)"),
+    ("public-domain", 84, 0.8, "united states government", r"work of the united states government"),
+    ("mit", 92, 0.9, "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 91, 0.85, "without warranty of any kind", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", 91, 0.85, "deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish"),
+    ("x11", 93, 0.9, "consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("isc", 91, 0.85, "author disclaims", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("isc", 91, 0.85, "fee is hereby granted", r"with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", 92, 0.9, "origin of this software", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", 92, 0.9, "altered source", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", 92, 0.9, "redistribute it freely", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("bsd-2-clause", 92, 0.85, "list of conditions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", 92, 0.85, "binary form", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-4-clause", 96, 0.95, "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause", 91, 0.8, "and contributors", r"this software is provided by the (?:copyright holders and contributors|regents and contributors) as is and any express or implied warranties"),
+    ("bsd-3-clause", 90, 0.8, "bsd style", r"use of this source code is governed by a bsd style licen[cs]e"),
+    ("apache-2", 96, 0.97, "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", 90, 0.9, "apache org", r"you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("apache-2", 90, 0.85, "limitations under the license", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2", 89, 0.8, "agreed to in writing", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 90, 0.9, "contributor license agreements", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1", 94, 0.9, "apache", r"this product includes software developed by the apache software foundation http www apache org"),
+    ("gpl-2", 97, 0.97, "general public", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2"),
+    ("gpl-3", 97, 0.97, "general public", r"redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 3"),
+    ("lgpl-2.1", 97, 0.97, "general public", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation (?:either )?version 2(?: 1)?"),
+    ("lgpl-3", 97, 0.97, "general public", r"redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 3"),
+    ("agpl-3", 97, 0.97, "affero", r"redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation (?:either )?version 3"),
+    ("gpl", 88, 0.8, "general public", r"see the gnu general public license for more details"),
+    ("gpl", 88, 0.8, "general public", r"you should have received a copy of the gnu general public license along with"),
+    ("lgpl", 88, 0.8, "general public", r"see the gnu (?:lesser|library) general public license for more details"),
+    ("lgpl", 88, 0.8, "general public", r"you should have received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("agpl", 88, 0.8, "affero", r"you should have received a copy of the gnu affero general public license along with"),
+    ("agpl", 88, 0.8, "remote network interaction", r"remote network interaction use with the gnu general public license"),
+    ("gfdl", 96, 0.95, "invariant sections", r"with no invariant sections (?:with )?no front cover texts and (?:with )?no back cover texts"),
+    ("mpl-2", 96, 0.97, "mozilla", r"this source code form is subject to the terms of the mozilla public license(?: v| version) 2 0"),
+    ("mpl-2", 90, 0.9, "mozilla org", r"you can obtain one at https? (?:www )?mozilla org mpl 2 0"),
+    ("mpl-2", 90, 0.85, "incompatible with secondary", r"this source code form is incompatible with secondary licenses"),
+    ("mpl-1", 95, 0.95, "mozilla", r"the contents of this file are subject to the mozilla public license(?: version)? 1 1"),
+    ("epl-1", 96, 0.95, "eclipse", r"accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
+    ("epl-2", 96, 0.95, "eclipse", r"accompanying materials are made available under the terms of the eclipse public license (?:v(?:ersion)? ?)?2 0"),
+    ("eupl", 95, 0.95, "eupl", r"licensed under the eupl (?:version|v) 1 [0-2] or as soon they will be approved by the european commission"),
+    ("cddl", 95, 0.95, "common development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", 95, 0.95, "common public", r"the accompanying program is provided under the terms of this common public license"),
+    ("artistic-2", 92, 0.9, "modified versions", r"you are permitted to use and create and use modified versions for any purpose without restriction provided that you do not distribute the modified version"),
+    ("artistic-1", 92, 0.9, "artistic", r"you may distribute under the terms of either the gnu general public license or the artistic license"),
+    ("bsl-1", 96, 0.97, "boost", r"distributed under the boost software license version 1 0"),
+    ("bsl-1", 92, 0.9, "machine executable object code", r"solely in the form of machine executable object code generated by a source language processor"),
+    ("wtfpl", 95, 0.95, "do what the", r"do what the f\S+ you want to public licen[cs]e"),
+    ("unlicense", 92, 0.9, "compiled binary", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("unlicense", 92, 0.9, "unlicense org", r"please refer to https? unlicense org"),
+    ("ofl-1.1", 95, 0.95, "font software", r"this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", 90, 0.85, "reserved font name", r"with reserved font names?"),
+    ("postgresql", 92, 0.85, "written agreement", r"without fee and without a written agreement is hereby granted provided that the above copyright notice"),
+    ("python-2", 92, 0.9, "python software foundation", r"(?:copyright c \S+(?: \S+){0,20} )?python software foundation all rights reserved"),
+    ("php-3", 92, 0.9, "php net", r"this product includes php software freely available from https? www php net"),
+    ("openssl", 94, 0.9, "this product includes", r"this product includes (?:software developed by the openssl project|cryptographic software written by)"),
+    ("ncsa", 92, 0.9, "with the software without restriction", r"to deal with the software without restriction including without limitation the rights to use"),
+    ("cc0", 96, 0.95, "waive", r"(?:has|have) (?:dedicated the work to the public domain by )?waived? all (?:of his or her |copyright and related or neighboring )rights"),
+    ("cc0", 96, 0.97, "creativecommons", r"creativecommons org publicdomain zero 1 0"),
+    ("public-domain", 90, 0.9, "creativecommons", r"creativecommons org publicdomain mark 1 0"),
+    ("cc-by-nc-nd", 96, 0.97, "creativecommons", r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", 96, 0.97, "creativecommons", r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc", 95, 0.97, "creativecommons", r"creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nd", 95, 0.97, "creativecommons", r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-sa", 95, 0.97, "creativecommons", r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by", 95, 0.97, "creativecommons", r"creativecommons org licenses by [1-4] [05]"),
+    ("odbl", 95, 0.95, "opendatacommons", r"opendatacommons org licenses odbl 1 0"),
+    ("odc-by", 95, 0.95, "opendatacommons", r"opendatacommons org licenses by 1 0"),
+    ("proprietary", 94, 0.9, "trade secret", r"(?:contains|constitutes?|are|is) (?:the )?(?:confidential|proprietary|valuable)(?: and (?:confidential|proprietary))? (?:information and )?trade secrets?"),
+    ("proprietary", 94, 0.9, "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: or (?:copying|use|reproduction|distribution))? of this (?:file|document|software|material|work)(?: via any medium)? is (?:strictly )?prohibited"),
+    ("proprietary", 85, 0.85, "no part of", r"no part of this (?:publication|book|document|work|material|site) may be (?:copied|reproduced|stored|transmitted|distributed)"),
+    ("proprietary", 84, 0.8, "commercial use only", r"for (?:your )?personal (?:and )?non ?commercial use only"),
+    ("proprietary", 84, 0.8, "for evaluation", r"(?:licensed|provided) for evaluation (?:purposes|use) only"),
+    ("proprietary", 85, 0.85, "end user", r"(?:subject to|governed by|under) (?:the |this |an )?end user licen[cs]e agreement"),
 ]
 
 
@@ -138,8 +213,9 @@ def _compiled(words: str) -> re.Pattern:
 
 RULES = build_rules()
 KEYWORDS = {k for r in RULES for k in r.keywords}
-#: A text without any of these holds no match of any rule: a keyword from each rule's literals.
+#: A text without any of these holds no match of any rule: a literal of each frame and name, and a keyword of each term.
 GATES = (b"licen", b"reserved", b"proprietary", b"permission", b"redistribution", b"endorse", b"unencumbered", b" as is ", b"public domain", b"apache", b"bsd", b"gpl", b"gnu ", b" mpl ", b"mozilla", b"epl ", b"eclipse", b"eupl", b"european union", b"cddl", b"common ", b"wtfpl", b"cc0", b" cc ", b"creative commons", b"odbl", b"odc ", b"open d", b"mit no attribution", b"spdx", b" under ", b"x11", b" mit ", b" isc ", b" zlib ", b"libpng", b"openssl", b"postgresql", b" ms pl ", b" ms rl ", b"ncsa", b" ofl ", b" psf ")
+GATES += tuple(sorted({k.encode() for _, _, _, k, _ in TERMS if not any(g in k.encode() for g in GATES)}))
 
 
 def detect(text: bytes) -> list[tuple[int, int, Rule]]:
@@ -152,15 +228,18 @@ def detect(text: bytes) -> list[tuple[int, int, Rule]]:
         if all(here[k] for k in rule.keywords):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
-    starts: list[int] = []  # of kept intervals, which don't overlap, in order
-    ends: dict[int, tuple[int, Rule]] = {}
+    starts: list[int] = []  # of kept intervals that lie in no other kept one, in order; their ends are in order as well
+    ends: list[int] = []
+    kept = []
     for s, e, rule in found:
-        i = bisect_left(starts, s)
-        if (i and ends[starts[i - 1]][0] > s) or (i < len(starts) and starts[i] < e):
+        i = bisect_right(starts, s)
+        if i and ends[i - 1] >= e:
             continue
-        starts.insert(i, s)
-        ends[s] = e, rule
-    return [(s, *ends[s]) for s in starts]
+        kept.append((s, e, rule))
+        low, high = bisect_left(starts, s), bisect_right(ends, e)  # those between lie in this one
+        starts[low:high] = [s]
+        ends[low:high] = [e]
+    return sorted(kept, key=lambda x: x[:2])
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:long,end:long,label:string,confidence:double>>"

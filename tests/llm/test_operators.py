@@ -153,8 +153,9 @@ def test_license_scan(spark):
 def test_license_rules_are_suppressed_by_priority():
     text = b" this work is licensed under the gnu general public license version 3 or the mit license "
     kept = licenses.detect(text)
-    assert [r.label for *_, r in kept] == ["gpl-3", "mit"]
-    assert all(e <= s for (_, e, _), (s, _, _) in zip(kept, kept[1:], strict=False))
+    assert [r.label for *_, r in kept] == ["gpl-3", "gpl-3", "mit"]  # "this work is ..." reaches further than "licensed under ..."
+    assert all(not (s2 <= s and e <= e2 and r.priority < r2.priority) for s, e, r in kept for s2, e2, r2 in kept)
+    assert [r.label for *_, r in licenses.detect(b" mit license gpl ")] == ["mit", "gpl"]  # a shared word hides neither
     for said, label in [("spdx license identifier bsd 3 clause", "bsd-3-clause"), ("cc0 1 0 universal", "cc0"), ("see gpl v3", "gpl-3"), ("eupl v 1 2", "eupl"), ("the wtfpl", "wtfpl"), ("ms pl license", "ms-pl"), ("placed in the public domain", "public-domain"), ("gnu free documentation license", "gfdl"), ("odc by", "odc-by")]:
         assert [r.label for *_, r in licenses.detect(f" {said} ".encode())] == [label]
 
@@ -475,12 +476,44 @@ def test_equal_stretches_of_a_chain_that_links_too_much(spark):
     assert {w for i in range(4) for w in range(74 * i, 74 * i + 50)} <= covered
 
 
+def spoken(rng, parsed):
+    """A random text of a rule's language."""
+    out = ""
+    for kind, x in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(x)
+        elif kind == "IN":
+            out += chr(rng.choice([c for k, v in x for c in ([v] if str(k) == "LITERAL" else range(v[0], v[1] + 1) if str(k) == "RANGE" else [122])]))
+        elif kind == "BRANCH":
+            out += spoken(rng, rng.choice(x[1]))
+        elif kind == "SUBPATTERN":
+            out += spoken(rng, x[3])
+        elif kind == "MAX_REPEAT":
+            out += "".join(spoken(rng, x[2]) for _ in range(rng.randint(x[0], min(int(x[1]), x[0] + 3))))
+        else:
+            assert kind in ("ASSERT", "CATEGORY"), kind
+    return out
+
+
+def test_every_license_rule_holds_its_keywords_and_a_gate():
+    rng = random.Random(41)
+    for rule in licenses.RULES:
+        parsed = re._parser.parse(rule.pattern.pattern.decode())
+        for _ in range(25):
+            text = f" {spoken(rng, parsed)} ".encode()
+            assert rule.pattern.search(text), text
+            assert all(any(k in text for k in own) for own in rule.keywords), (rule, text)
+            assert any(g in text for g in licenses.GATES), (rule, text)
+            assert any(r.priority >= rule.priority for *_, r in licenses.detect(text)), (rule, text)
+
+
 def slow_detect(text):
-    """All matches of all rules without gates, and suppression by comparing with every kept one."""
+    """All matches of all rules without gates, and suppression by comparing with every kept one: none may contain it."""
     found = [(m.start(), m.end(), r) for r in licenses.RULES for m in r.pattern.finditer(text)]
     kept = []
     for s, e, r in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
-        if all(e <= s2 or e2 <= s for s2, e2, _ in kept):
+        if not any(s2 <= s and e <= e2 for s2, e2, _ in kept):
             kept.append((s, e, r))
     return sorted(kept, key=lambda x: x[:2])
 
