@@ -736,3 +736,35 @@ def test_large_pools_are_compared_as_far_as_needed(spark, monkeypatch):
     expected = brute_groups(texts, 90, 3)
     got = by_id(jaccard_join.jaccard_groups(frame(spark, texts), 90, 3, words.VISIBLE, counters=1 << 16))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == expected
+
+
+@pytest.mark.parametrize("seed, vocabulary, low, high, tandem", [(0, 10**6, 5, 80, False), (2, 10**6, 1, 60, True), (3, 40, 30, 120, True), (5, 1, 60, 300, False)])
+def test_all_windows_of_an_earlier_document_are_found(spark, seed, vocabulary, low, high, tandem):
+    """Brute force: every place of 50 words that stand in an earlier document lies in passages; every passage is what it says."""
+    rng = random.Random(seed)
+    pool = [[f"w{rng.randrange(vocabulary)}" for _ in range(rng.randint(low, high))] for _ in range(30)]
+    docs = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 8)):
+            chunk, cut = rng.choice(pool), rng.randrange(low)
+            chunk = rng.choice([chunk, chunk[cut:], chunk[:cut]])
+            words += chunk * (rng.randint(1, 4) if tandem and rng.random() < 0.4 else 1)
+            words += [f"u{rng.randrange(10**9)}" for _ in range(rng.randint(1, 30) if rng.random() < 0.3 else 0)]
+        docs.append(words)
+    covered, seen, places = {}, set(), 0
+    for r in passages.repeated_passages(frame(spark, [" ".join(x) for x in docs])).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        a, b = docs[r.doc_id][r.start : r.end], docs[r.source_id][r.source_start : r.source_end]
+        assert r.source_id < r.doc_id and len(a) == r.end - r.start >= 50 and r.similarity == r.matched / max(len(a), len(b)) >= 0.8
+        assert r.similarity < 1 or a == b
+    for i, x in enumerate(docs):
+        own = [tuple(x[j : j + 50]) for j in range(len(x) - 49)]
+        for j, w in enumerate(own):
+            if w in seen:
+                places += 1
+                assert set(range(j, j + 50)) <= covered.get(i, set())
+        seen.update(own)
+    assert places
+    h, pos = np.array([1, 2, 1, 2, 1, 1, 3, 1], np.uint64), np.array([0, 5, 20, 25, 40, 60, 70, 200])
+    assert passages.spaced(h, pos, 50)[1].tolist() == [0, 5, 25, 40, 60, 70, 200]
