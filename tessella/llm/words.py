@@ -84,15 +84,23 @@ class Words:
         return mix(out)
 
 
+#: Of the polynomials that shingles are.
+BASE = 0x2545F4914F6CDD1D
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k consecutive word hashes; a shorter sequence is one shingle, an empty one none."""
     n = len(h)
     if n == 0:
         return h
     size = min(n, k)
-    out = np.zeros(n - size + 1, np.uint64)
-    for i in range(size):
-        out = out * np.uint64(0x2545F4914F6CDD1D) + h[i : n - size + 1 + i]
+    out, width = h, 1  # the polynomial of `width` words, doubled or made one word longer
+    for bit in bin(size)[3:]:
+        out = out[: len(out) - width] * np.uint64(pow(BASE, width, 1 << 64)) + out[width:]
+        width *= 2
+        if bit == "1":
+            out = out[:-1] * np.uint64(BASE) + h[width:]
+            width += 1
     return mix(out + np.uint64(size))
 
 
