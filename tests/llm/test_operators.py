@@ -426,6 +426,50 @@ def test_passages_whose_seeds_stand_first_in_several_documents(spark):
         assert (out[11, 10].start, out[11, 10].end) == (0, 60)
 
 
+def test_similar_passages_whose_seeds_stand_in_documents_before_and_between(spark):
+    """All seeds of two similar passages stand first in shorter pieces before both, and again in pieces between the two."""
+    rng = random.Random(21)
+    for edit in (lambda x, i: [f"edit{i}"], lambda x, i: [x, f"edit{i}"], lambda x, i: []):
+        p = prose(rng, 60, 10**6).split()
+        q = [y for i, x in enumerate(p) for y in (edit(x, i) if i in (11, 23, 35, 47) else [x])]
+        pieces = [" ".join([*p[i : i + 20], *prose(rng, 30, 10**6).split()]) for i in range(0, 41, 10)]
+        again = [" ".join([*prose(rng, 30, 10**6).split(), *p[i : i + 20]]) for i in range(0, 41, 10)]
+        texts = [*pieces, prose(rng, 20, 10**6) + " " + " ".join(p), *again, " ".join(q) + " " + prose(rng, 40, 10**6)]
+        texts += [prose(rng, 40, 10**6) + " " + " ".join(p[:11]) + " " + prose(rng, 40, 10**6) for _ in range(5)]
+        found = {(r.doc_id, r.source_id): r for r in passages.repeated_passages(frame(spark, texts)).collect()}
+        assert set(found) == {(11, 5)} and (found[11, 5].start, found[11, 5].end, found[11, 5].source_start) == (0, len(q), 20)
+
+
+def test_open_seeds_are_looked_up_in_all_earlier_documents(spark):
+    """Every stretch of 20 words of which 16 stand at the same places in an earlier document lies in passages, but for ends of three words."""
+    rng = random.Random(22)
+    parts = [prose(rng, 20, 10**6).split() for _ in range(6)]
+    docs = []
+    for n in range(60):
+        doc = prose(rng, 3, 10**6).split()
+        for i in (0, 5, 10, 14) if n % 3 != 1 else ():  # seeds, but no passage
+            for x in parts:
+                doc += [*x[i : i + 6], *prose(rng, 8, 10**6).split()]
+        for _ in range(2) if n % 3 == 1 else ():
+            x = list(rng.choice(parts))
+            for i in rng.sample(range(20), 4):
+                x[i] = f"edit{rng.randrange(10**6)}"
+            doc += x + prose(rng, 5, 10**6).split()
+        docs.append(doc)
+    inside = [set() for _ in docs]
+    for r in passages.repeated_passages(frame(spark, [" ".join(x) for x in docs]), min_words=20, similarity=0.8).collect():
+        inside[r.doc_id] |= set(range(r.start, r.end))
+        assert r.source_id < r.doc_id and r.similarity >= 0.8 and r.end - r.start >= 20
+    for d, doc in list(enumerate(docs))[1::3]:
+        for source in docs[1:d:3]:
+            for p in range(len(doc) - 19):
+                for q in range(len(source) - 19):
+                    same = [x == y for x, y in zip(doc[p : p + 20], source[q : q + 20], strict=True)]
+                    runs = [i for i in range(17) if all(same[i : i + 4])]
+                    if sum(same) >= 16 and len(runs) >= passages.LEAST:
+                        assert all(any(p + i + k in inside[d] for k in range(4)) for i in runs), (d, p, q)
+
+
 def test_passages_with_spread_edits_and_gaps_near_the_ends(spark):
     rng = random.Random(12)
     texts, whole = [], {}
