@@ -89,27 +89,28 @@ def labels_of(active: DataFrame) -> DataFrame:
     """(host, prefix, segment) to its label in the generalised tree. active: host, prefix, segment, next, n, labelled, blocked."""
     node, branch = ["host", "prefix"], ["host", "prefix", "segment"]
     sums = [F.sum(x).alias(x) for x in ("n", "labelled", "blocked")]
-    children = active.groupBy(*branch, "next").agg(*sums)
+    children = stored(active.groupBy(*branch, "next").agg(*sums), "children")  # stored where used more than once, so that plans stay small
     branches = children.groupBy(*branch).agg(*sums)
     nodes = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("width"), F.sum("n").alias("total"))
-    branches = branches.join(nodes, node).withColumn("wild", (F.col("width") > MOST_CHILDREN) & (F.col("n") < KEEP_SHARE * F.col("total")))
+    branches = stored(branches.join(nodes, node).withColumn("wild", (F.col("width") > MOST_CHILDREN) & (F.col("n") < KEEP_SHARE * F.col("total"))), "branches")
     # Named branches are at most MOST_CHILDREN, or 1 / KEEP_SHARE, of a node; their profiles at most 1 / LEAST_SHARE shares each.
     named = branches.where("not wild").select(*branch, "n", "labelled", "blocked")
     shares = children.select(*branch, "next", F.col("n").alias("m")).join(named.select(*branch, "n"), branch).withColumn("share", F.col("m") / F.col("n")).where(F.col("share") >= LEAST_SHARE)
     profiles = shares.groupBy(*branch).agg(F.map_from_entries(F.collect_list(F.struct("next", "share"))).alias("profile"))
-    named = named.join(profiles, branch, "left").withColumn("profile", F.coalesce("profile", F.expr("cast(map() as map<string,double>)")))
+    named = stored(named.join(profiles, branch, "left").withColumn("profile", F.coalesce("profile", F.expr("cast(map() as map<string,double>)"))), "named")
     one = F.struct("n", "segment", "labelled", "blocked", "profile")
     a, b = named.select(*node, one.alias("a")), named.select(*node, one.alias("b"))
     heavier = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.segment") < F.col("a.segment")))
     pairs = a.join(b, node).where(heavier & alike(F.col("a"), F.col("b")))  # of the few named branches of a node
     pairs = pairs.select(*node, F.col("a.segment").alias("segment"), F.struct(F.col("b.n").alias("n"), F.col("b.segment").alias("leader")).alias("to"))
+    pairs = stored(pairs, "pairs")
     followers = pairs.select(*branch).distinct()
     leaders = followers.select(*node, F.col("segment").alias("leader"))
     merged = pairs.withColumn("leader", F.col("to.leader")).join(leaders, [*node, "leader"], "left_anti").groupBy(*branch).agg(F.max("to").alias("to")).select(*branch, F.col("to.leader").alias("leader"))
     heads = merged.select(*node, F.col("leader").alias("segment")).distinct().withColumn("head", F.lit(True))
     found = branches.select(*branch, "wild").join(merged, branch, "left").join(heads, branch, "left")
     label = F.when(F.col("wild"), "*").when(F.col("leader").isNotNull(), F.concat(F.lit("{"), "leader", F.lit(",..}"))).when(F.col("head"), F.concat(F.lit("{"), "segment", F.lit(",..}"))).otherwise(F.col("segment"))
-    return found.select(*branch, label.alias("label"))
+    return stored(found.select(*branch, label.alias("label")), "labels")
 
 
 def alike(a: Column, b: Column) -> Column:

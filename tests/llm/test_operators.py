@@ -812,3 +812,12 @@ def test_all_windows_of_an_earlier_document_are_found(spark, seed, vocabulary, l
     assert places
     h, pos = np.array([1, 2, 1, 2, 1, 1, 3, 1], np.uint64), np.array([0, 5, 20, 25, 40, 60, 70, 200])
     assert passages.spaced(h, pos, 50)[1].tolist() == [0, 5, 25, 40, 60, 70, 200]
+
+
+def test_url_levels_end_in_stored_tables(spark):
+    """A level's labels are read back, so the plans of eight levels don't add up on the driver."""
+    rows = [("a.com", "", x, "/", 1, 0, 0) for x in "pqr"]
+    active = spark.createDataFrame(rows, "host string, prefix string, segment string, next string, n long, labelled long, blocked long")
+    labels = urls.labels_of(active)
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and labels.count() == 3
