@@ -470,6 +470,63 @@ def test_open_seeds_are_looked_up_in_all_earlier_documents(spark):
                         assert all(any(p + i + k in inside[d] for k in range(4)) for i in runs), (d, p, q)
 
 
+def test_earlier_sources_against_loops(monkeypatch):
+    """In blocks that end inside a seed's places as well, and with counted shingles."""
+    rng = np.random.default_rng(23)
+    min_words, edits, k = 20, 4, passages.K
+    before, after = min_words - k + edits, min_words + edits
+    seed, around = [], []
+    for s in range(12):
+        places = rng.integers(3, 30)
+        parts = rng.integers(1, 200, (3, before + after)).astype(np.uint8)
+        for _ in range(places):
+            row = parts[rng.integers(3)].copy()
+            if rng.random() < 0.7:
+                some = rng.random(len(row)) < 0.12
+                row[some] = rng.integers(1, 200, some.sum())
+            if rng.random() < 0.4:
+                cut = rng.integers(before + k, len(row) - 1)
+                row[cut:] = np.append(row[cut + 1 :], 7) if rng.random() < 0.5 else np.append(7, row[cut:-1])
+            if rng.random() < 0.2:
+                row[: rng.integers(1, before)] = 0
+            if rng.random() < 0.2:
+                row[:before] = row[before + k :][:before] = 9  # one word again and again
+            row[before : before + k] = (s, 1, 2, 3)
+            around.append(row)
+            seed.append(s)
+    seed, around = np.array(seed), np.array(around)
+    doc = np.concatenate([np.sort(rng.integers(0, 40, n)) for n in np.bincount(seed)])
+    opened = rng.random(len(doc)) < 0.6
+
+    def shared(a, b, n):
+        grams = [tuple(a[i : i + n]) for i in range(edits, len(a) - n + 1 - edits)]
+        has = [0 not in x and any(x == tuple(b[j : j + n]) for j in range(i, i + 2 * edits + 1)) for i, x in enumerate(grams)]
+        return max(sum(has[i : i + min_words - n + 1]) for i in range(min_words - k + 1)) >= min_words - n + 1 - n * edits
+
+    def seeds(a):
+        return {tuple(a[i : i + k]) for i in range(len(a) - k + 1) if 0 not in a[i : i + k]}
+
+    expected = set()
+    for i in np.flatnonzero(opened).tolist():
+        for j in np.flatnonzero((seed == seed[i]) & (doc < doc[i])).tolist():
+            if shared(around[i], around[j], 2) and shared(around[i], around[j], 3) and len(seeds(around[i]) & seeds(around[j])) >= passages.LEAST:
+                expected.add((int(doc[i]), int(doc[j])))
+    for meeting, few in ((1 << 14, 64), (16, 64), (16, 2), (40, 0)):
+        for name, value in (("MEETING", meeting), ("FEW_PLACES", few), ("PAIRS", 50)):
+            monkeypatch.setattr(passages, name, value)
+        own, source = passages.earlier_sources(seed, doc, opened, around, min_words, edits)
+        assert set(zip(own.tolist(), source.tolist(), strict=True)) == expected and len(expected) > 50
+
+
+def test_documents_of_words_again_and_again_are_no_sources_of_each_other(spark, monkeypatch):
+    """One seed in common, but never a chain: next to no pairs (a byte of each word is compared), whose number would grow with the square of theirs."""
+    rng = random.Random(24)
+    made = {}
+    monkeypatch.setattr(passages, "stored", lambda df, name, old=passages.stored: made.setdefault(name, old(df, name)))
+    texts = [" ".join(x for i in range(6) for x in [f"w{n}x{i}" if i != 2 else "same"] * rng.randrange(40, 49)) for n in range(30)]
+    assert passages.repeated_passages(frame(spark, texts)).count() == 0 and made["pairs"].count() < len(texts) and made["anchors"].count() > 0
+
+
 def test_passages_with_spread_edits_and_gaps_near_the_ends(spark):
     rng = random.Random(12)
     texts, whole = [], {}
