@@ -527,6 +527,39 @@ def test_documents_of_words_again_and_again_are_no_sources_of_each_other(spark,
     assert passages.repeated_passages(frame(spark, texts)).count() == 0 and made["pairs"].count() < len(texts) and made["anchors"].count() > 0
 
 
+def test_of_stretches_within_the_edits_a_piece_that_no_edit_ends_is_looked_up():
+    rng = np.random.default_rng(25)
+    for min_words, edits, most in ((50, 10, 4), (20, 4, 3), (11, 10, 1)):
+        assert passages.words_of_piece(min_words, edits) == most
+        for _ in range(150):
+            count = min_words + int(rng.integers(0, 40))
+            own, size = rng.integers(0, 2**63, count, dtype=np.uint64), rng.integers(1, 14, count)
+            h, length = passages.piece_hashes(own, size, most)
+            assert all(size[i : i + n].sum() >= passages.PIECE_BYTES or n == most for i, n in enumerate(length.tolist()))
+            begin = int(rng.integers(0, count - min_words + 1))
+            other, sizes = list(own[begin : begin + min_words]), list(size[begin : begin + min_words])
+            for _ in range(edits):
+                i, kind = int(rng.integers(len(other))), rng.integers(3)
+                other[i : i + (kind != 1)] = [] if kind == 0 else [rng.integers(0, 2**63, dtype=np.uint64)]
+                sizes[i : i + (kind != 1)] = [] if kind == 0 else [3]
+            kept = np.isin(h, passages.piece_hashes(np.array(other, np.uint64), np.array(sizes), most)[0])
+            shared = np.zeros(count, np.int64)
+            shared[: len(h)] = np.where(kept | (rng.random(len(h)) < 0.3), rng.integers(2, 1000, len(h)), 0)
+            start = passages.tiles(length)
+            found = passages.looked_up(start, start + length[start], start, shared, np.ones(count, bool), min_words, edits)
+            inside = np.arange(len(h))[found[: len(h)] & kept]
+            assert any(begin <= i and i + length[i] <= begin + min_words for i in inside.tolist())
+
+
+def test_rare_words_between_frequent_ones_need_no_lookup(spark, monkeypatch):
+    """Runs of frequent words stand in many documents, but what lies between them in none: nothing is looked up, however many there are."""
+    rng = random.Random(26)
+    made = {}
+    monkeypatch.setattr(passages, "stored", lambda df, name, old=passages.stored: made.setdefault(name, old(df, name)))
+    texts = [" ".join(x for _ in range(12) for x in [*rng.choice(["the of and in to a", "of and in to a the"]).split(), *(f"rareword{rng.randrange(10**9)}" for _ in range(4))]) for _ in range(30)]
+    assert passages.repeated_passages(frame(spark, texts)).count() == 0 and made["anchors"].count() == 0
+
+
 def test_passages_with_spread_edits_and_gaps_near_the_ends(spark):
     rng = random.Random(12)
     texts, whole = [], {}
