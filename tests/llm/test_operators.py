@@ -560,6 +560,12 @@ def test_rare_words_between_frequent_ones_need_no_lookup(spark, monkeypatch):
     assert passages.repeated_passages(frame(spark, texts)).count() == 0 and made["anchors"].count() == 0
 
 
+def test_few_hashes_get_past_the_bitmap_of_what_is_looked_up(spark):
+    held = np.random.default_rng(27).integers(0, 2**40, 3000)
+    bits = np.unpackbits(passages.bitmap_of(spark.createDataFrame([(x,) for x in held.tolist()], "h long"), 256), bitorder="little")
+    assert bits[held & (len(bits) - 1)].all() and bits.mean() < 1 / 200
+
+
 def test_passages_with_spread_edits_and_gaps_near_the_ends(spark):
     rng = random.Random(12)
     texts, whole = [], {}
